@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 # Characters removed by a full strip; SQL ``trim`` alone removes blanks only.
 _WHITESPACE = " \t\n\r\f\v"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:inf|infinity))\s*$"
 
 
 def strip(c: Column) -> Column:
@@ -20,24 +20,23 @@ def clean_double(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     Text is checked before the cast: a plain cast would also take Java spellings such as ``12d``.
     NaN is a missing value and becomes NULL.
     """
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(dtype, T.NumericType):
-        value = c.cast("double")
-        return F.when(~F.isnan(value), value) if isinstance(dtype, (T.DoubleType, T.FloatType)) else value
-    text = strip(c.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+        return c.cast("double")
+    return F.regexp_extract(c.cast("string"), _NUMBER, 1).try_cast("double")
 
 
 def parse_percent(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     """``"13.5%"`` -> 13.5; numbers pass through; bad text is NULL."""
     if isinstance(dtype, T.NumericType):
         return clean_double(c, dtype)
-    return clean_double(F.replace(strip(c), F.lit("%"), F.lit("")))
+    return clean_double(F.replace(c, F.lit("%"), F.lit("")))
 
 
 def parse_term_months(c: Column) -> Column:
     """First run of digits as a number, NULL without one."""
-    digits = F.regexp_extract(c.cast("string"), r"(\d+)", 1)
-    return F.when(digits != "", digits).try_cast("int")
+    return F.regexp_extract(c.cast("string"), r"(\d+)", 1).try_cast("int")
 
 
 def parse_month(c: Column) -> Column:
@@ -54,13 +53,13 @@ def year_month(d: Column) -> Column:
 
 
 def clip(c: Column, lower: float | None = None, upper: float | None = None) -> Column:
-    """Bound a value on one or both sides; NULL stays NULL (bare least/greatest would skip it)."""
+    """Bound a value on one or both sides; NULL stays NULL (least/greatest would skip it)."""
     bounded = c
-    if lower is not None:
-        bounded = F.greatest(bounded, F.lit(float(lower)))
     if upper is not None:
-        bounded = F.least(bounded, F.lit(float(upper)))
-    return F.when(c.isNotNull(), bounded)
+        bounded = F.when(c > upper, F.lit(float(upper))).otherwise(bounded)
+    if lower is not None:
+        bounded = F.when(c < lower, F.lit(float(lower))).otherwise(bounded)
+    return bounded
 
 
 def log_amount(c: Column) -> Column:

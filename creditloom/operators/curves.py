@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import local_rows
 from .ordered import OrderedTable
 
 
@@ -59,5 +60,6 @@ def pr_points(scores: OrderedTable) -> DataFrame:
 
 def _ends(scores: OrderedTable) -> DataFrame:
     """One row per group that has both classes."""
-    totals = scores.table.groupBy(*scores.by).agg(F.sum("n").alias("total_n"), F.sum("pos").alias("total_pos"))
-    return _both_classes(totals)
+    groups = [(*g, 1) for g, t in scores.totals.items() if 0 < t["pos"] < t["n"]]
+    types = [*[scores.table.schema[b].dataType.simpleString() for b in scores.by], "int"]
+    return local_rows(scores.table.sparkSession, groups, [*scores.by, "__one"], types)

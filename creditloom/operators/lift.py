@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import TARGET
+from ..scratch import local_rows
 from .metrics import score_table
 from .ordered import OrderedTable, ordered_table
 
@@ -34,8 +35,11 @@ def risk_decile_lift(df: DataFrame, p: str = "p_default", y: str = TARGET, id_co
 
     limits = [row.asDict() for row in split.select("p", "above", "total_n").collect()]  # at most bins - 1 rows
     if limits:
-        above = df.sparkSession.createDataFrame(
-            [(r["p"], r["above"], r["total_n"]) for r in limits], "p double, above bigint, total_n bigint"
+        above = local_rows(
+            df.sparkSession,
+            [(r["p"], r["above"], r["total_n"]) for r in limits],
+            ["p", "above", "total_n"],
+            ["double", "bigint", "bigint"],
         )
         rows = (
             df.select(F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("pos"), F.col(id_column).alias("id"))

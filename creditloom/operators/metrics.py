@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import TARGET
+from ..scratch import local_rows
 from .ordered import OrderedTable, ordered_table
 from .quantiles import quantile_bin, quantile_edges, quantiles_of
 
@@ -91,10 +92,9 @@ def calibration_bins(scores: OrderedTable, bins: int = 10, edge_digits: int | No
     edges = quantile_edges(scores, bins, "n", edge_digits)
     table = scores.table
     if scores.by:
-        spark = table.sparkSession
-        types = {f.name: f.dataType.simpleString() for f in table.schema}
-        schema = ", ".join([*(f"`{b}` {types[b]}" for b in scores.by), "__edges array<double>"])
-        per_group = spark.createDataFrame([(*g, e[:-1]) for g, e in edges.items()], schema)
+        values = [(*g, e[:-1]) for g, e in edges.items()]
+        types = [*[table.schema[b].dataType.simpleString() for b in scores.by], "array<double>"]
+        per_group = local_rows(table.sparkSession, values, [*scores.by, "__edges"], types)
         # One row per group (a model or a named subset) with at most bins + 1 numbers.
         binned = table.join(F.broadcast(per_group), list(scores.by)).withColumn(
             "decile", F.greatest(F.lit(1), F.size(F.filter("__edges", lambda e: e < F.col("p"))))
@@ -129,7 +129,7 @@ def calibration_summary(df: DataFrame, p: str = "p_default", y: str = TARGET, bi
 
 
 def summary_of(scores: OrderedTable, bins: int = 10, edge_digits: int | None = None) -> DataFrame:
-    if scores.table.isEmpty():
+    if not scores.parts:
         raise ValueError("cannot summarize empty calibration frame")
     deciles = calibration_bins(scores, bins, edge_digits)
     columns = ["decile", "count", "mean_predicted_default", "observed_default_rate", "absolute_calibration_gap"]

@@ -11,88 +11,119 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from ..scratch import materialise
+from ..scratch import local_rows, materialise
 
 PART = "__part"
 
 
 @dataclass
 class OrderedTable:
-    """``table`` sorted by (``by``, ``keys``); ``parts`` holds one row per group and range partition."""
+    """``table`` sorted by (``by``, ``keys``) over numbered range partitions.
+
+    The groups of ``by`` must be few and known (models, features, months): their totals per range
+    partition are kept on the driver.
+    """
 
     table: DataFrame
     by: tuple[str, ...]
     keys: tuple[str, ...]
     sums: tuple[str, ...]
 
-    @property
-    def parts(self) -> DataFrame:
+    @cached_property
+    def parts(self) -> list[dict]:
         """Totals of each range partition, the totals before it, and the last row before it.
 
-        At most (range partitions + groups) rows, so it is small whatever the table size.
+        At most (range partitions + groups) small rows, whatever the table size.
         """
-        own = self.table.groupBy(*self.by, PART).agg(
-            *[F.sum(s).alias(f"__sum_{s}") for s in self.sums],
-            F.max_by(F.struct(*self.sums), F.struct(*self.keys)).alias("__last"),
-        )
-        group = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
-        earlier = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        return own.select(
-            *self.by,
-            PART,
-            *[F.coalesce(F.sum(f"__sum_{s}").over(earlier), F.lit(0)).alias(f"__offset_{s}") for s in self.sums],
-            *[F.sum(f"__sum_{s}").over(group).alias(f"total_{s}") for s in self.sums],
-            F.lag("__last").over(group.orderBy(PART)).alias("__previous"),
+        rows = (
+            self.table.groupBy(*self.by, PART)
+            .agg(
+                *[F.sum(s).cast("bigint").alias(s) for s in self.sums],
+                F.max_by(F.struct(*self.sums), F.struct(*self.keys)).alias("last"),
+            )
+            .collect()
         )
+        groups: dict[tuple, list[Row]] = {}
+        for row in sorted(rows, key=lambda r: r[PART]):
+            groups.setdefault(tuple(row[b] for b in self.by), []).append(row)
+        result = []
+        for group, members in groups.items():
+            before, previous = dict.fromkeys(self.sums, 0), None
+            total = {s: sum(m[s] for m in members) for s in self.sums}
+            for m in members:
+                result.append(
+                    {"group": group, PART: m[PART], "before": dict(before), "size": m, "total": total, "previous": previous}
+                )
+                before = {s: before[s] + m[s] for s in self.sums}
+                previous = m["last"]
+        return result
+
+    @property
+    def totals(self) -> dict[tuple, dict[str, int]]:
+        return {p["group"]: p["total"] for p in self.parts}
 
-    def running(self, table: DataFrame | None = None) -> DataFrame:
-        """Rows with ``before_<s>`` (sum over smaller keys), ``total_<s>`` and ``previous_<s>``."""
+    def _type(self, column: str) -> str:
+        return self.table.schema[column].dataType.simpleString()
+
+    def running(self, numbers: Sequence[int] | None = None) -> DataFrame:
+        """Rows with ``before_<s>`` (sum over smaller keys), ``total_<s>`` and ``previous_<s>``.
+
+        With ``numbers`` only those range partitions are read, as a filter of the Parquet scan.
+        """
+        parts = [p for p in self.parts if numbers is None or p[PART] in set(numbers)]
+        rows = self.table if numbers is None else self.table.filter(F.col(PART).isin(*numbers))
+        values = [
+            (
+                *p["group"],
+                p[PART],
+                *[p["before"][s] for s in self.sums],
+                *[p["total"][s] for s in self.sums],
+                *[p["previous"][s] if p["previous"] is not None else None for s in self.sums],
+            )
+            for p in parts
+        ]
+        names = [f"__{kind}_{s}" for kind in ("offset", "total", "previous") for s in self.sums]
+        types = [*[self._type(b) for b in self.by], "int", *["bigint"] * len(names)]
+        if len(values) == 1 and not self.by:
+            rows = rows.withColumns({n: F.lit(v).cast("bigint") for n, v in zip(names, values[0][1:])})
+        else:
+            offsets = local_rows(rows.sparkSession, values, [*self.by, PART, *names], types)
+            rows = rows.join(F.broadcast(offsets), [*self.by, PART])  # bounded as `parts` is
         within = Window.partitionBy(*self.by, PART).orderBy(*self.keys)
         earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-        rows = (table if table is not None else self.table).join(F.broadcast(self.parts), [*self.by, PART])
-        return rows.withColumns(
-            {
-                **{
-                    f"before_{s}": F.coalesce(F.sum(s).over(earlier), F.lit(0)) + F.col(f"__offset_{s}")
-                    for s in self.sums
-                },
-                **{f"previous_{s}": F.coalesce(F.lag(s).over(within), F.col(f"__previous.{s}")) for s in self.sums},
-            }
-        ).drop(*[f"__offset_{s}" for s in self.sums], "__previous")
+        computed = {}
+        for s in self.sums:
+            computed[f"before_{s}"] = F.coalesce(F.sum(s).over(earlier), F.lit(0)) + F.col(f"__offset_{s}")
+            computed[f"total_{s}"] = F.col(f"__total_{s}")
+            computed[f"previous_{s}"] = F.coalesce(F.lag(s).over(within), F.col(f"__previous_{s}"))
+        return rows.withColumns(computed).drop(*names)
 
     def rows_at(self, positions: dict[tuple, Iterable[int]], count: str) -> dict[tuple, dict[int, Row]]:
         """Rows that cover the given zero-based positions of each group, counting ``count`` per row.
 
-        Only the range partitions that hold a wanted position are read: their numbers come from
-        the small ``parts`` table and reach the Parquet scan as a filter.
+        Only the range partitions that hold a wanted position are read.
         """
-        wanted: list[tuple] = []
-        layout: dict[tuple, list[Row]] = {}
-        for row in self.parts.collect():  # one row per range partition and group
-            layout.setdefault(tuple(row[b] for b in self.by), []).append(row)
-        for group, places in positions.items():
-            rows = sorted(layout.get(group, []), key=lambda r: r[PART])
-            for i, row in enumerate(rows):
-                start = row[f"__offset_{count}"]
-                end = rows[i + 1][f"__offset_{count}"] if i + 1 < len(rows) else row[f"total_{count}"]
-                inside = sorted({int(p) for p in places if start <= p < end})
-                if inside:
-                    wanted.append((*group, row[PART], inside))
+        wanted = []
+        for part in self.parts:
+            start = part["before"][count]
+            end = start + part["size"][count]
+            inside = sorted({int(p) for p in positions.get(part["group"], ()) if start <= p < end})
+            if inside:
+                wanted.append((*part["group"], part[PART], inside))
         found: dict[tuple, dict[int, Row]] = {group: {} for group in positions}
         if not wanted:
             return found
-        spark = self.table.sparkSession
-        types = {f.name: f.dataType.simpleString() for f in self.table.schema}
-        schema = ", ".join([*(f"`{b}` {types[b]}" for b in self.by), f"{PART} int", "__positions array<bigint>"])
-        targets = spark.createDataFrame(wanted, schema)
+        types = [*[self._type(b) for b in self.by], "int", "array<bigint>"]
+        targets = local_rows(self.table.sparkSession, wanted, [*self.by, PART, "__positions"], types)
         numbers = sorted({w[len(self.by)] for w in wanted})
         begin, size = F.col(f"before_{count}"), F.col(count)
         hits = (
-            self.running(self.table.filter(F.col(PART).isin(*numbers)))
-            .join(F.broadcast(targets), [*self.by, PART])
+            self.running(numbers)
+            .join(F.broadcast(targets), [*self.by, PART])  # one row per part that holds a wanted position
             .withColumn("__positions", F.filter("__positions", lambda p: (p >= begin) & (p < begin + size)))
             .filter(F.size("__positions") > 0)
         )
@@ -101,11 +132,6 @@ class OrderedTable:
                 found[tuple(row[b] for b in self.by)][place] = row
         return found
 
-    def totals(self) -> dict[tuple, Row]:
-        """Totals of each group on the driver; use only with a fixed list of groups."""
-        rows = self.table.groupBy(*self.by).agg(*[F.sum(s).alias(s) for s in self.sums]).collect()
-        return {tuple(row[b] for b in self.by): row for row in rows}
-
 
 def ordered_table(df: DataFrame, keys: Sequence[str], sums: Sequence[str], by: Sequence[str] = ()) -> OrderedTable:
     """Lay ``df`` out by (``by``, ``keys``), which must be unique, and write it once."""

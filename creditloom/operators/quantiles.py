@@ -19,7 +19,7 @@ def _weighted(low: float, high: float, share: float) -> float:
 def quantiles_of(ordered: OrderedTable, probabilities: dict[tuple, Sequence[float]], count: str = "n") -> dict[tuple, list[float | None]]:
     """Linear quantiles of each group of an ordered table whose single key is the value."""
     (value,) = ordered.keys
-    totals = ordered.totals()
+    totals = ordered.totals
     places: dict[tuple, dict[float, tuple[int, int, float]]] = {}
     for group, probs in probabilities.items():
         if group not in totals:
@@ -68,7 +68,7 @@ def even_probabilities(bins: int) -> list[float]:
 
 def quantile_edges(ordered: OrderedTable, bins: int, count: str = "n", edge_digits: int | None = None) -> dict[tuple, list[float]]:
     """Deduplicated quantile edges of each group, for at most as many bins as rows."""
-    totals = ordered.totals()
+    totals = ordered.totals
     wanted = {group: even_probabilities(min(bins, row[count])) for group, row in totals.items()}
     edges: dict[tuple, list[float]] = {}
     for group, values in quantiles_of(ordered, wanted, count).items():

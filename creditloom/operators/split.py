@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..schema import SPLIT_RATIOS, SPLITS, TARGET
+from ..scratch import local_rows
 from .ordered import counted, cuts_at
 
 
@@ -90,7 +91,7 @@ def in_splits(df: DataFrame, *names: str) -> DataFrame:
 
 def split_summary(df: DataFrame, target: str = TARGET, date_column: str = "issue_dt") -> DataFrame:
     """Rows, default rate and first and last date of all four splits; empty splits have zero rows."""
-    names = df.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    names = local_rows(df.sparkSession, [(s,) for s in SPLITS], ["split"], ["string"])
     columns = [F.count("*").alias("rows")]
     columns.append((F.avg(target) if target in df.columns else F.lit(None).cast("double")).alias("default_rate"))
     for name, f in (("date_min", F.min), ("date_max", F.max)):

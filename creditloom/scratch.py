@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
@@ -37,3 +39,15 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str], types: Sequence[str]) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size Spark knows when it plans a join."""
+    kinds = {
+        "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(),
+        "date": pa.date32(), "timestamp_ntz": pa.timestamp("us"), "timestamp": pa.timestamp("us", "UTC"),
+        "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
+    }
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    arrays = [pa.array(list(values), type=kinds[t]) for values, t in zip(columns, types)]
+    return spark.createDataFrame(pa.table(arrays, names=list(names)))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators.ordered import ordered_table
 from ..schema import FEATURES, KEY_COLUMNS
+from ..scratch import local_rows
 
 
 def read_csv_text(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
@@ -60,17 +61,17 @@ def sample_loans(df: DataFrame, n: int, seed: int = 42, month: str = "issue_mont
     then ends inside one prefix, and only the rows of that prefix have to be ordered.
     """
     digest = F.md5(F.concat_ws("#", F.col(id_column).cast("string"), F.lit(str(seed))))
-    marked = df.withColumn("__hash", digest).withColumn("__prefix", F.substring("__hash", 1, 4))
+    marked = df.withColumn("__hash", digest).withColumn("__prefix", F.substring("__hash", 1, 3))
     counts = marked.groupBy(month, "__prefix").agg(F.count("*").alias("n"))
     by_prefix = ordered_table(counts.na.drop(subset=[month]), ["__prefix"], ["n"], [month])
-    totals = by_prefix.totals()  # one row per calendar month
+    totals = by_prefix.totals  # one row per calendar month
     rows = sum(t["n"] for t in totals.values())
     quota = {m: max(1, -(-n * t["n"] // rows)) for m, t in totals.items()}
     at = by_prefix.rows_at({m: [min(q, totals[m]["n"]) - 1] for m, q in quota.items()}, "n")
     # One row per month: the prefix where its quota ends and how many rows that prefix may give.
     ends = [(m[0], row["__prefix"], p + 1 - row["before_n"]) for m, found in at.items() for p, row in found.items()]
     kind = df.schema[month].dataType.simpleString()
-    limits = df.sparkSession.createDataFrame(ends, f"`{month}` {kind}, __end string, __take bigint")
+    limits = local_rows(df.sparkSession, ends, [month, "__end", "__take"], [kind, "string", "bigint"])
     near = marked.join(F.broadcast(limits), month).filter(F.col("__prefix") <= F.col("__end"))
     inside = near.filter(F.col("__prefix") < F.col("__end"))
     last = near.filter(F.col("__prefix") == F.col("__end")).withColumn("n", F.lit(1))
