@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.guards import ensure_no_forbidden_features
 from ..operators.quantiles import exact_medians, unpivot_values
@@ -58,8 +58,6 @@ def most_frequent(counts: DataFrame) -> DataFrame:
 
 def ordinal_codes(counts: DataFrame) -> DataFrame:
     """Zero-based code of every value in sorted order, per feature."""
-    from pyspark.sql import Window
-
     code = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
     return counts.select("feature", "value", code.alias("code"))
 
@@ -128,13 +126,14 @@ def _impute_sql(stats: FeatureStats, scale: bool) -> tuple[list[str], list[str]]
     return columns, names
 
 
-def _indexer(stats: FeatureStats, categorical: Sequence[str]) -> StringIndexerModel:
-    return StringIndexerModel.from_arrays_of_labels(
-        [stats.categories[c] for c in categorical],
-        inputCols=[f"__cat_{c}" for c in categorical],
-        outputCols=[f"__index_{c}" for c in categorical],
-        handleInvalid="keep",
-    )
+def _indexers(stats: FeatureStats, categorical: Sequence[str]) -> list[StringIndexerModel]:
+    """One indexer per feature: a shared one would pad shorter label lists with nulls."""
+    return [
+        StringIndexerModel.from_labels(
+            stats.categories[c], inputCol=f"__cat_{c}", outputCol=f"__index_{c}", handleInvalid="keep"
+        )
+        for c in categorical
+    ]
 
 
 def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
@@ -147,10 +146,10 @@ def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
     categorical = [c for c in CATEGORICAL_FEATURES if c in stats.categories]
     hot = [f"__hot_{c}" for c in categorical]
     if categorical:
-        indexer = _indexer(stats, categorical)
-        indexed = indexer.transform(stages[0].transform(sample))
+        stages += _indexers(stats, categorical)
+        indexed = PipelineModel(stages).transform(sample)
         encoder = OneHotEncoder(inputCols=[f"__index_{c}" for c in categorical], outputCols=hot, dropLast=True)
-        stages += [indexer, encoder.fit(indexed)]  # sizes come from the index metadata
+        stages.append(encoder.fit(indexed))  # sizes come from the index metadata
     stages.append(VectorAssembler(inputCols=[*names, *hot, "__one"], outputCol=VECTOR_COLUMN))
     return PipelineModel(stages)
 
@@ -168,6 +167,6 @@ def tree_encoder(stats: FeatureStats) -> PipelineModel:
             f"CASE WHEN `__index_{c}` >= {len(stats.categories[c])} THEN -1D ELSE `__index_{c}` END AS `__code_{c}`"
             for c in categorical
         ]
-        stages += [_indexer(stats, categorical), SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")]
+        stages += [*_indexers(stats, categorical), SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")]
     stages.append(VectorAssembler(inputCols=[*names, *[f"__code_{c}" for c in categorical]], outputCol=VECTOR_COLUMN))
     return PipelineModel(stages)

@@ -1,23 +1,16 @@
-"""Session settings the plans are written for."""
+"""Session setting the wide cleaning projections are written for."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# All are public run-time settings; a value the user has set is kept.
-SETTINGS = {
-    # Methods beyond this size are not compiled by HotSpot; Spark then splits the stage instead.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-}
-_DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": "65535"}
+# HotSpot does not compile methods beyond this size; with the limit Spark splits such a stage into
+# smaller methods instead of leaving one large method interpreted.
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    for name, value in SETTINGS.items():
-        current = spark.conf.get(name, None)
-        if current is None or current == _DEFAULTS.get(name):
-            spark.conf.set(name, value)
+    """Set the limit unless the user has chosen one."""
+    if spark.conf.get(_METHOD_LIMIT, "65535") == "65535":
+        spark.conf.set(_METHOD_LIMIT, "8000")
     return spark
