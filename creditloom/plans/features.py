@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.guards import ensure_no_forbidden_features
 from ..operators.quantiles import exact_medians, unpivot_values
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from ..scratch import local_rows
 
 FEATURES_COLUMN = "features"
 VECTOR_COLUMN = "__vector"
@@ -126,14 +128,19 @@ def _impute_sql(stats: FeatureStats, scale: bool) -> tuple[list[str], list[str]]
     return columns, names
 
 
-def _indexers(stats: FeatureStats, categorical: Sequence[str]) -> list[StringIndexerModel]:
-    """One indexer per feature: a shared one would pad shorter label lists with nulls."""
-    return [
-        StringIndexerModel.from_labels(
-            stats.categories[c], inputCol=f"__cat_{c}", outputCol=f"__index_{c}", handleInvalid="keep"
-        )
-        for c in categorical
-    ]
+def _indexer(spark: SparkSession, stats: FeatureStats, categorical: Sequence[str]) -> StringIndexerModel:
+    """Indexer of all categories in sorted order, fitted on the category lists instead of the rows.
+
+    Lists of different length leave nulls at their end, which the indexer does not count.
+    """
+    lists = local_rows(
+        spark, list(zip_longest(*[stats.categories[c] for c in categorical])),
+        [f"__cat_{c}" for c in categorical], ["string"] * len(categorical),
+    )
+    return StringIndexer(
+        inputCols=lists.columns, outputCols=[f"__index_{c}" for c in categorical],
+        stringOrderType="alphabetAsc", handleInvalid="keep",
+    ).fit(lists)
 
 
 def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
@@ -146,7 +153,7 @@ def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
     categorical = [c for c in CATEGORICAL_FEATURES if c in stats.categories]
     hot = [f"__hot_{c}" for c in categorical]
     if categorical:
-        stages += _indexers(stats, categorical)
+        stages.append(_indexer(sample.sparkSession, stats, categorical))
         indexed = PipelineModel(stages).transform(sample)
         encoder = OneHotEncoder(inputCols=[f"__index_{c}" for c in categorical], outputCols=hot, dropLast=True)
         stages.append(encoder.fit(indexed))  # sizes come from the index metadata
@@ -154,7 +161,7 @@ def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
     return PipelineModel(stages)
 
 
-def tree_encoder(stats: FeatureStats) -> PipelineModel:
+def tree_encoder(spark: SparkSession, stats: FeatureStats) -> PipelineModel:
     """Imputed numbers, indicators and ordinal codes; an unknown category is -1.
 
     Codes are plain numbers without nominal metadata, so trees split them as ordered values.
@@ -167,6 +174,6 @@ def tree_encoder(stats: FeatureStats) -> PipelineModel:
             f"CASE WHEN `__index_{c}` >= {len(stats.categories[c])} THEN -1D ELSE `__index_{c}` END AS `__code_{c}`"
             for c in categorical
         ]
-        stages += [*_indexers(stats, categorical), SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")]
+        stages += [_indexer(spark, stats, categorical), SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")]
     stages.append(VectorAssembler(inputCols=[*names, *[f"__code_{c}" for c in categorical]], outputCol=VECTOR_COLUMN))
     return PipelineModel(stages)

@@ -59,10 +59,10 @@ def fit_model(train: DataFrame, features: Sequence[str], name: str, stats: Featu
         encoder, classifier = linear_encoder(rows, stats), penalised_logistic(total, **overrides)
     elif name == "random_forest":
         settings = dict(numTrees=80, maxDepth=12, minInstancesPerNode=100)
-        encoder, classifier = tree_encoder(stats), _tree(RandomForestClassifier, {**settings, **overrides})
+        encoder, classifier = tree_encoder(train.sparkSession, stats), _tree(RandomForestClassifier, {**settings, **overrides})
     else:
         settings = dict(maxIter=120, stepSize=0.08, maxDepth=5)
-        encoder, classifier = tree_encoder(stats), _tree(GBTClassifier, {**settings, **overrides})
+        encoder, classifier = tree_encoder(train.sparkSession, stats), _tree(GBTClassifier, {**settings, **overrides})
     encoded = encoder.transform(rows).select(VECTOR_COLUMN, TARGET, *([WEIGHT] if WEIGHT in rows.columns else []))
     return PipelineModel([*encoder.stages, classifier.fit(encoded)])
 

@@ -15,7 +15,7 @@ from ..operators.split import split_chronological, split_manifest, split_summary
 from ..operators.target import target_summary
 from ..schema import FEATURES
 from .bundle import read_json_row, write_json_row
-from .loans import fingerprint_text, sample_loans, select_loan_columns
+from .loans import CSV_WRITE, fingerprint_text, sample_loans, select_loan_columns
 
 
 @dataclass
@@ -86,9 +86,12 @@ def load_dataset(spark: SparkSession, path: str) -> LoanDataset | None:
 
 
 def write_scored(df: DataFrame, path: str, output_format: str = "csv") -> str:
-    """Scored rows as a folder of files, one per task; nothing is gathered."""
-    writer = df.write.mode("overwrite")
-    (writer.option("header", True) if output_format == "csv" else writer).format(output_format).save(path)
+    """Scored rows as a folder of files, one per task; nothing is gathered.
+
+    Submitted text is written as it came: the CSV writer would otherwise trim outer blanks.
+    """
+    writer = df.write.mode("overwrite").format(output_format)
+    (writer.options(**CSV_WRITE) if output_format == "csv" else writer).save(path)
     return path
 
 

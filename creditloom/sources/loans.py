@@ -12,14 +12,19 @@ from ..schema import FEATURES, KEY_COLUMNS
 from ..scratch import local_rows
 
 
+# A quote inside a quoted field is doubled, and outer blanks belong to the field.
+CSV_READ = {"header": True, "quote": '"', "escape": '"'}
+CSV_WRITE = {**CSV_READ, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv_text(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """CSV with a header, every column as text. The header is the only thing read ahead.
 
     Types are never inferred: that would scan everything and still guess.
     """
-    names = spark.read.option("header", True).csv(path).columns
+    names = spark.read.options(**CSV_READ).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.option("header", True).option("mode", mode).schema(schema).csv(path)
+    return spark.read.options(**CSV_READ, mode=mode).schema(schema).csv(path)
 
 
 def read_loans(spark: SparkSession, path: str, features: Sequence[str] = FEATURES, source_format: str = "csv") -> DataFrame:
