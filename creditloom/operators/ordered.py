@@ -22,7 +22,7 @@ PART = "__part"
 
 @dataclass
 class OrderedTable:
-    """``table`` sorted by (``by``, ``keys``) over numbered range partitions.
+    """``table`` spread by (``by``, ``keys``) over numbered range partitions.
 
     The groups of ``by`` must be few and known (models, features, months): their totals per range
     partition are kept on the driver.
@@ -134,11 +134,11 @@ class OrderedTable:
 
 
 def ordered_table(df: DataFrame, keys: Sequence[str], sums: Sequence[str], by: Sequence[str] = ()) -> OrderedTable:
-    """Lay ``df`` out by (``by``, ``keys``), which must be unique, and write it once."""
-    order = [*by, *keys]
-    laid_out = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id())
-    )
+    """Lay ``df`` out by (``by``, ``keys``), which must be unique, and write it once.
+
+    The partition number is stored with the row, so it stays the same however often files are read.
+    """
+    laid_out = df.repartitionByRange(*by, *keys).withColumn(PART, F.spark_partition_id())
     return OrderedTable(materialise(laid_out), tuple(by), tuple(keys), tuple(sums))
 
 
