@@ -54,8 +54,7 @@ def fit_calibrator(scores: OrderedTable, method: str = "isotonic") -> Calibrator
         F.struct(F.lit(1.0).alias(TARGET), F.col("pos").cast("double").alias(WEIGHT)),
         F.struct(F.lit(0.0).alias(TARGET), (F.col("n") - F.col("pos")).cast("double").alias(WEIGHT)),
     )
-    points = scores.table.select("p", F.lit(1.0).alias("__one"), F.inline(pairs)).filter(F.col(WEIGHT) > 0)
-    vectors = VectorAssembler(inputCols=["p", "__one"], outputCol=VECTOR_COLUMN).transform(points)
+    points = scores.table.select("p", F.inline(pairs)).filter(F.col(WEIGHT) > 0)
+    vectors = VectorAssembler(inputCols=["p"], outputCol=VECTOR_COLUMN).transform(points)
     fitted = penalised_logistic(float(total["n"])).fit(vectors)
-    slope, offset = (float(v) for v in fitted.coefficients)
-    return Calibrator(method, slope=slope, offset=offset)
+    return Calibrator(method, slope=float(fitted.coefficients[0]), offset=float(fitted.intercept))

@@ -144,12 +144,12 @@ def _indexer(spark: SparkSession, stats: FeatureStats, categorical: Sequence[str
 
 
 def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
-    """Scaled numbers and indicators, one-hot categories (unknown = all zeros) and a constant one.
+    """Scaled numbers and indicators, and one-hot categories (unknown = all zeros).
 
     ``sample`` only lends its schema and session: no stage reads its rows.
     """
     columns, names = _impute_sql(stats, scale=True)
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join([*columns, '1.0D AS __one'])} FROM __THIS__")]
+    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
     categorical = [c for c in CATEGORICAL_FEATURES if c in stats.categories]
     hot = [f"__hot_{c}" for c in categorical]
     if categorical:
@@ -157,7 +157,7 @@ def linear_encoder(sample: DataFrame, stats: FeatureStats) -> PipelineModel:
         indexed = PipelineModel(stages).transform(sample)
         encoder = OneHotEncoder(inputCols=[f"__index_{c}" for c in categorical], outputCols=hot, dropLast=True)
         stages.append(encoder.fit(indexed))  # sizes come from the index metadata
-    stages.append(VectorAssembler(inputCols=[*names, *hot, "__one"], outputCol=VECTOR_COLUMN))
+    stages.append(VectorAssembler(inputCols=[*names, *hot], outputCol=VECTOR_COLUMN))
     return PipelineModel(stages)
 
 
