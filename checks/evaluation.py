@@ -21,7 +21,7 @@ from creditloom.plans.models import fit_model, predict_raw
 from creditloom.plans.select import FOLD_METRICS, TrainingOptions, comparison_rows, fold_means, select_candidate
 from creditloom.plans.train import field_defaults
 from creditloom.schema import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
-from creditloom.scratch import local_rows, scratch_root
+from creditloom.scratch import local_rows, materialise, scratch_root
 from creditloom.sources.dataset import prepare_dataset
 from creditloom.sources.testtables import loans, table
 
@@ -583,7 +583,7 @@ def sigmoid_calibration(spark, folder):
 
 
 def _fitted_metrics(spark, folder, name, **settings):
-    df = split(spark, folder).drop("p_raw")
+    df = materialise(split(spark, folder).drop("p_raw"))  # fitting reads the rows many times
     model = fit_model(in_splits(df, "train"), FEATURES, name, **settings)
     return metric_rows(score_table(predict_raw(model, in_splits(df, "validation"), FEATURES), "p_raw"))
 
@@ -612,7 +612,7 @@ def boosted_trees_model(spark, folder):
 @query()
 def candidate_grid(spark, folder):
     """Two models, two calibrations, without cross-validation."""
-    df = split(spark, folder).drop("p_raw")
+    df = materialise(split(spark, folder).drop("p_raw"))
     options = TrainingOptions(
         models=["logistic", "logistic_balanced"], cross_validation=False,
         model_settings={"logistic": {"maxIter": 20}, "logistic_balanced": {"maxIter": 20}},

@@ -100,9 +100,10 @@ def split_summary(df: DataFrame, target: str = TARGET, date_column: str = "issue
     return names.join(per_split, "split", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
 
 
-def split_manifest(df: DataFrame) -> dict:
-    """Row counts, default rates and date ranges per split (four rows reach the driver)."""
-    rows = {r["split"]: r for r in split_summary(df).collect()}
+def split_manifest(summary: DataFrame | Sequence[dict]) -> dict:
+    """Row counts, default rates and date ranges per split, from the four rows of a split summary."""
+    found = [r.asDict() for r in summary.collect()] if isinstance(summary, DataFrame) else summary
+    rows = {r["split"]: r for r in found}
     iso = lambda d: d.isoformat() if d is not None else None
     return {
         "row_counts": {s: rows[s]["rows"] for s in SPLITS},
@@ -149,11 +150,10 @@ def fold_blocks(df: DataFrame, date_column: str = "issue_dt", id_column: str = "
 
 def fold_sizes(blocked: DataFrame, folds: int, target: str = TARGET) -> DataFrame:
     """Training and test rows and the classes seen in each, per fold."""
-    spark = blocked.sparkSession
     per_block = blocked.groupBy("block", F.col(target).alias("y")).agg(F.count("*").alias("n"))
-    numbers = spark.range(1, folds + 1).select(F.col("id").cast("int").alias("fold"))
-    # Both sides have a handful of rows: folds are at most 4 and blocks at most 5.
-    joined = numbers.join(F.broadcast(per_block), F.col("block") <= F.col("fold"))
+    # A handful of rows: every block takes part in its own fold and in all later ones.
+    fold = F.explode(F.sequence(F.greatest(F.col("block"), F.lit(1)), F.lit(folds)))
+    joined = per_block.withColumn("fold", fold)
     training = F.col("block") < F.col("fold")
     return joined.groupBy("fold").agg(
         F.sum(F.when(training, F.col("n"))).alias("train_rows"),

@@ -91,13 +91,16 @@ def bundle_errors(documents: DataFrame) -> DataFrame:
 
     A field counts as missing when absent, null, or an empty text, list or object.
     """
-    at = lambda p: F.get_json_object("document", p)
-    absent = lambda p: F.coalesce(at(p), F.lit("")).isin("", "[]", "{}", "0", "false", "null")
+    # Each document is parsed once; nested values stay as their JSON text.
+    fields = ", ".join(f"{name}: string" for name in REQUIRED_METADATA)
+    schema = f"calibrator string, feature_columns string, required_input_schema string, metadata struct<{fields}>"
+    parsed = documents.withColumn("__parsed", F.from_json("document", schema))
+    absent = lambda p: F.coalesce(F.col(f"__parsed.{p}"), F.lit("")).isin("", "[]", "{}", "0", "false", "null")
     checks = [
-        (absent("$.calibrator"), "missing calibrator"),
-        (absent("$.feature_columns"), "missing feature columns"),
-        (absent("$.required_input_schema"), "missing required input schema"),
-        *[(absent(f"$.metadata.{f}"), f"missing metadata field `{f}`") for f in REQUIRED_METADATA],
+        (absent("calibrator"), "missing calibrator"),
+        (absent("feature_columns"), "missing feature columns"),
+        (absent("required_input_schema"), "missing required input schema"),
+        *[(absent(f"metadata.{f}"), f"missing metadata field `{f}`") for f in REQUIRED_METADATA],
     ]
     messages = [F.when(bad, F.concat(F.lit(text + ": "), F.col("path"))) for bad, text in checks]
-    return documents.withColumn("errors", F.array_compact(F.array(*messages)))
+    return parsed.withColumn("errors", F.array_compact(F.array(*messages))).drop("__parsed")

@@ -61,10 +61,11 @@ def prepare_dataset(source: DataFrame, root: str, features: Sequence[str] = FEAT
         prepared = sample_loans(prepared, sample)
     split_chronological(prepared).write.mode("overwrite").partitionBy("split").parquet(f"{path}/loans")
     loans = _read_loans(spark, path)
+    split_rows = [r.asDict() for r in split_summary(loans).collect()]  # four rows
     record = {
         "fingerprint": fingerprint,
-        "manifest": split_manifest(loans),
-        "split_rows": [r.asDict() for r in split_summary(loans).collect()],  # four rows
+        "manifest": split_manifest(split_rows),
+        "split_rows": split_rows,
         "target_summary": target_summary(raw).first().asDict(),
         "features": list(features),
         "sample": sample,

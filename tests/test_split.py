@@ -68,7 +68,7 @@ def test_summaries(spark):
     rows = {r["split"]: r for r in split_summary(df).collect()}
     assert {s: rows[s]["rows"] for s in SPLITS} == {"train": 2, "calibration": 1, "validation": 0, "test": 1}
     assert rows["validation"]["default_rate"] is None and rows["validation"]["date_min"] is None
-    manifest = split_manifest(df)
+    manifest = split_manifest(split_summary(df))
     assert manifest["row_counts"]["train"] == 2 and manifest["date_ranges"]["test"]["min"] == "2018-04-04"
     assert manifest["date_ranges"]["validation"] == {"min": None, "max": None}
     assert [r["id"] for r in saved_ids(df).collect()] == ["00003"]
@@ -78,7 +78,7 @@ def test_summaries(spark):
 
 def test_forty_loans(spark):
     df = split_chronological(prepare_loans(text_frame(spark, loan_rows())))
-    assert split_manifest(df)["row_counts"] == {"train": 24, "calibration": 6, "validation": 6, "test": 4}
+    assert split_manifest(split_summary(df))["row_counts"] == {"train": 24, "calibration": 6, "validation": 6, "test": 4}
 
 
 def test_folds_expand_over_time(spark):
