@@ -63,7 +63,8 @@ def sample_loans(df: DataFrame, n: int, seed: int = 42, month: str = "issue_mont
 
     In every month the rows with the smallest hash of (id, seed) are taken, so a sample is the same
     on every run and grows with ``n``. Rows are counted per month and hash prefix; the month's quota
-    then ends inside one prefix, and only the rows of that prefix have to be ordered.
+    then ends inside one prefix, and only the rows of that prefix have to be ordered. Rows without a
+    month all stay, so that a later split still reports them.
     """
     digest = F.md5(F.concat_ws("#", F.col(id_column).cast("string"), F.lit(str(seed))))
     marked = df.withColumn("__hash", digest).withColumn("__prefix", F.substring("__hash", 1, 3))
@@ -82,7 +83,8 @@ def sample_loans(df: DataFrame, n: int, seed: int = 42, month: str = "issue_mont
     last = near.filter(F.col("__prefix") == F.col("__end")).withColumn("n", F.lit(1))
     ordered = ordered_table(last, ["__hash", id_column], ["n"], [month]).running()
     taken = ordered.filter(F.col("before_n") < F.col("__take"))
-    return inside.select(*df.columns).unionByName(taken.select(*df.columns))
+    undated = df.filter(F.col(month).isNull())
+    return inside.select(*df.columns).unionByName(taken.select(*df.columns)).unionByName(undated)
 
 
 def source_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

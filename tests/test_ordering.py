@@ -1,4 +1,3 @@
-import datetime
 import random
 
 import pytest
@@ -115,6 +114,8 @@ def test_sample_keeps_every_month_and_its_share(many_parts):
     larger = sample_loans(df, 200)
     assert sample.join(larger, "id", "left_anti").isEmpty()
     assert sample_loans(df, 10_000).count() == 1000
+    undated = df.unionByName(many_parts.createDataFrame([("x", None), ("y", None)], df.schema))
+    assert sample_loans(undated, 100).filter("issue_month is null").count() == 2
 
 
 def test_scratch_folder_comes_from_the_session(spark):
