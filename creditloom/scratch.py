@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
-
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back on a temporary folder; on a cluster a machine-local
-    folder would not be visible to the other executors, so an unset folder is an error there.
+    Where that is not set, as in tests, it is a folder in the session's warehouse, which all executors
+    share as well. A machine-local temporary folder is never used.
     """
-    global _local_root
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="creditloom-")
-    return _local_root
+    return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
