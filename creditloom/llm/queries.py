@@ -4,18 +4,77 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import bpe, secret_scan, simhash
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file that the encoding query and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, folder, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(_read(spark, folder, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = [r.kind for r in secret_scan.BASE]
+    return found.select(
+        "doc_id", *[count(k) for k in base],
+        F.sha2(secret_scan.joined(F.col("spans"), base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def _match_sql(number: int, kind: str, pattern: str, keep: str) -> str:
+    """Matches of one kind with their places: the pieces between matches tell where each begins."""
+    return f"""select row_id, {number} as k, '{kind}' as kind, b as s, b + length(m) as e from (
+    select row_id, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1),
+        lambda i: coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0)
+      )) as b
+    from (select row_id, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as ps from texts)
+  ) where {keep}"""
+
+
+_ANY_CASE = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_ASSIGN_SQL = _ANY_CASE + "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SECRETS_SQL = f"""with texts as (select row_number() over () as row_id, doc_id, coalesce(text, '') as t from documents),
+found as ({" union all ".join([
+    _match_sql(0, "assign", _ASSIGN_SQL, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 8"),
+    _match_sql(1, "access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+    _match_sql(2, "hex", "[0-9a-f]+", "length(m) >= 32"),
+    _match_sql(3, "github", "gh[opsu]_[A-Za-z0-9]+", "length(m) >= 40"),
+    _match_sql(4, "slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+])}),
+per as (select row_id,
+  count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+  string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, k) filter (k <= 2) as base,
+  string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, k) as spans
+  from found group by row_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join per using (row_id)"""
+
+
+def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(_read(spark, folder, "documents"), tokenizer_path())
+    return coded.select(
+        "doc_id", F.expr("cast(length(ids) / 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_secret_scans, op9_bpe_encoding)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_secret_scans": _SECRETS_SQL}
