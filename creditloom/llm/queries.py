@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, secret_scan, simhash
+from . import bpe, chat, secret_scan, sharding, simhash
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -102,6 +102,14 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from texts left join per using (row_id)"""
 
 
+def op5_balanced_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.balanced_shards(_read(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "link_group", "linked_rows",
+    )
+
+
 def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(_read(spark, folder, "documents"), tokenizer_path())
     return coded.select(
@@ -110,6 +118,6 @@ def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_chat_formatting, op4_secret_scans, op9_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op9_bpe_encoding)}
 
 SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL}
