@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .batches import pieces
 
-#: Words, and arcs, that a worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+#: Words, and states of the byte table, that a worker remembers; beyond that it starts anew.
+REMEMBERED = 300_000
 _NEVER = 1 << 60
 
 
@@ -48,7 +48,6 @@ class Automaton:
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         self.cut: dict[int, dict[int, int]] = {}
-        self.arcs: dict[int, bool] = {}
         for time, (a, b) in enumerate(model["merges"], start=1):
             left, right, made = ids[a], ids[b], ids[a + b]
             if made not in self.parts and self._follows(left, right):
@@ -72,6 +71,7 @@ class Automaton:
             self.token[node] = made
         self.length = {t: len(s) for t, s in symbols.items()}
         self.words = _Words(spec)
+        self._forget()
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether the state behind ``last`` has an arc ``token``."""
@@ -93,37 +93,61 @@ class Automaton:
             before = self.born[last]
             last = self.parts[last][1]
 
+    def _forget(self) -> None:
+        """Only the start of a word, where any arc can begin, is known."""
+        self.moves: dict[int, int] = {}
+        self.numbers: dict[tuple, int] = {((-1, 0),): 0}
+        self.open: list[tuple] = [((-1, 0),)]
+        self.ending: list[int] = [-1]
+
+    def _move(self, state: int, key: int, symbol: int) -> int:
+        """Next state, and a table entry for it: arcs that ``symbol`` continues, and the one that it completes."""
+        done, ahead = -1, []
+        for last, node in self.open[state]:
+            node = self.step.get(node << 20 | symbol, -1)
+            if node < 0:
+                continue
+            ahead.append((last, node))
+            token = self.token[node]
+            if done < 0 <= token and (last < 0 or self._follows(last, token)):
+                done = token
+        if done >= 0:
+            ahead.append((done, 0))
+        reached = (*ahead, done)
+        number = self.numbers.get(reached)
+        if number is None:
+            number = self.numbers[reached] = len(self.open)
+            self.open.append(tuple(ahead))
+            self.ending.append(done)
+        self.moves[key] = number
+        return number
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The one path of the automaton that reads ``word``; every prefix ends in one state only."""
-        symbols = [self.inner[b] for b in word]
-        symbols[-1] = self.final[word[-1]]
-        size = len(symbols)
-        behind = [-1] * (size + 1)
-        step, token, arcs = self.step, self.token, self.arcs
-        for i in range(size):
-            last, node, j = behind[i], 0, i
-            while j < size:
-                node = step.get(node << 20 | symbols[j], -1)
-                if node < 0:
-                    break
-                j += 1
-                read = token[node]
-                if read >= 0 and behind[j] < 0:
-                    if last < 0:
-                        behind[j] = read
-                        continue
-                    key = last << 20 | read
-                    there = arcs.get(key)
-                    if there is None:
-                        if len(arcs) >= REMEMBERED * 4:
-                            arcs.clear()
-                        there = arcs[key] = self._follows(last, read)
-                    if there:
-                        behind[j] = read
-        path = []
-        while size:
-            path.append(behind[size])
-            size -= self.length[path[-1]]
+        """The one path that reads ``word``.
+
+        Read byte by byte, every prefix ends one path only, so a state of the byte table is the set of open
+        arcs: where in the tree of labels each stands, and which token stood before it. States and moves are
+        entered when a word first needs them, and forgotten when they are too many.
+        """
+        if len(self.open) > REMEMBERED:
+            self._forget()
+        state, moves, ending, ends = 0, self.moves, self.ending, []
+        for b in word[:-1]:
+            key = state << 9 | b
+            state = moves.get(key, -1)
+            if state < 0:
+                state = self._move(key >> 9, key, self.inner[b])
+            ends.append(ending[state])
+        key = state << 9 | 256 | word[-1]
+        state = moves.get(key, -1)
+        if state < 0:
+            state = self._move(key >> 9, key, self.final[word[-1]])
+        ends.append(ending[state])
+        path, at, length = [], len(ends), self.length
+        while at:
+            token = ends[at - 1]
+            path.append(token)
+            at -= length[token]
         return path[::-1]
 
     def encode(self, text: str) -> list[int]:
@@ -144,8 +168,19 @@ def _byte_characters() -> list[str]:
 class _Words:
     """Normalisation and pre-splitting as the tokenizer file says."""
 
-    # Up to U+024F all letters are composed, and case and classes are the same in every Unicode version.
-    _RARE = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
+    _FURTHER = re.compile("[ɐ-\U0010ffff]")
+
+    @classmethod
+    def common(cls, text: str) -> bool:
+        """Whether all is below U+0250, where letters are composed and case and classes are the same in every
+        Unicode version, and without the four separators that libraries do not agree on."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return False
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            return not cls._FURTHER.search(text)
 
     def __init__(self, spec: dict) -> None:
         self.spec = json.dumps({**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
@@ -173,7 +208,7 @@ class _Words:
             yield special[part] if part in special else self.words(part)
 
     def words(self, text: str) -> list[str]:
-        if not self._RARE.search(text):
+        if self.common(text):
             return self.find(text.lower())
         if self.library is None:
             from tokenizers import Tokenizer
@@ -188,15 +223,60 @@ class _Words:
         return word.encode("utf-8", "surrogateescape")
 
 
-_loaded: dict[int, Automaton] = {}
+class _Known(dict):
+    """Words and what ``make`` gave for them; starts anew when it is full. Very long words are not kept."""
+
+    def __init__(self, make: Callable[[str], object]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> object:
+        value = self.make(word)
+        if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
+
+
+class Coder:
+    """Ids and decoded text of whole texts, with the words seen so far."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        self.automaton = automaton
+        self.ids = _Known(lambda word: _packed(automaton.encode_word(automaton.words.bytes_of_word(word))))
+        self.spoken = _Known(lambda word: automaton.decode(_unpacked(self.ids[word])))
+
+    def code(self, text: str) -> tuple[bytes, str]:
+        """(ids as little-endian unsigned 32-bit integers, their decoded text)."""
+        ids, spoken = [], []
+        for part in self.automaton.words.parts(text, self.automaton.special):
+            if isinstance(part, int):
+                ids.append(_packed([part]))
+                spoken.append(self.automaton.decode([part]))
+            else:
+                ids += map(self.ids.__getitem__, part)
+                spoken += map(self.spoken.__getitem__, part)
+        return b"".join(ids), " ".join(spoken)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def _unpacked(ids: bytes) -> list[int]:
+    return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
+
+
+_loaded: dict[int, Coder] = {}
 
 
-def _automaton(source: str) -> Automaton:
+def _coder(source: str) -> Coder:
     """One per worker and file."""
     key = hash(source)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Automaton(source)
+        _loaded[key] = Coder(Automaton(source))
     return _loaded[key]
 
 
@@ -213,30 +293,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(source.value)
-        known: dict[str, tuple[bytes, str]] = {}
+        coder = _coder(source.value)
         for batch in pieces(batches):
-            ids, texts = [], []
-            for text in batch.column(1):
-                found, spoken = [], []
-                for part in automaton.words.parts(text.as_py() or "", automaton.special):
-                    if isinstance(part, int):
-                        found.append(part.to_bytes(4, "little"))
-                        spoken.append(automaton.decode([part]))
-                        continue
-                    for word in part:
-                        entry = known.get(word)
-                        if entry is None:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            path = automaton.encode_word(automaton.words.bytes_of_word(word))
-                            entry = (b"".join(i.to_bytes(4, "little") for i in path), automaton.decode(path))
-                            if len(word) < 64:
-                                known[word] = entry
-                        found.append(entry[0])
-                        spoken.append(entry[1])
-                ids.append(b"".join(found))
-                texts.append(" ".join(spoken))
+            coded = [coder.code(text.as_py() or "") for text in batch.column(1)]
+            ids, texts = zip(*coded)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
             )
