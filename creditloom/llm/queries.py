@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, secret_scan, sharding, simhash
+from . import bpe, chat, decontaminate, quality, secret_scan, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -114,6 +114,18 @@ def op5_balanced_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, _read(spark, folder, "labels")))
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = quality.fit(docs, _read(spark, folder, "labels").filter(~held_out))
+    return quality.scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(_read(spark, folder, "documents"), tokenizer_path())
     return coded.select(
@@ -122,6 +134,10 @@ def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op9_bpe_encoding)}
+def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.fingerprints(_read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints)}
 
 SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL}
