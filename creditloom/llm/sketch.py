@@ -16,8 +16,8 @@ from ..scratch import materialise
 TABLE = 12
 CELLS = 3 * TABLE
 ROUNDS = 16
-#: Bins grow by this factor when a difference does not come out.
-GROWTH = 4
+#: Digests of both texts for each bin when the smallest sketch was too small.
+BIN_LOAD = 10
 #: A line is cut at the first end of a sentence after so many characters.
 LEAST_CHARS = 100
 #: Consecutive ids whose rows meet in one group.
@@ -39,22 +39,26 @@ def _check(digest: Column) -> Column:
 
 
 def placed(values: Column, level: int) -> Column:
-    """Digests with their check and their cells; every level has cells of its own."""
+    """Digests with their check and a bit for each of their cells; every level has cells of its own."""
 
     def one(d: Column) -> Column:
-        h = F.xxhash64(d, F.lit(level))
-        cells = [F.pmod(F.shiftright(h, 16 * j), F.lit(TABLE)) + j * TABLE for j in range(3)]
-        return F.struct(d.alias("x"), _check(d).alias("c"), *[v.cast("int").alias(f"p{j}") for j, v in enumerate(cells)])
+        return F.struct(d.alias("x"), _check(d).alias("c"), _cells(d, level).alias("cells"))
 
     return F.transform(values, one)
 
 
+def _cells(digest: Column, level: int) -> Column:
+    h = F.xxhash64(digest, F.lit(level))
+    bits = [F.call_function("shiftleft", F.lit(1 << TABLE * j).cast("bigint"), F.pmod(F.shiftright(h, 16 * j), F.lit(TABLE)).cast("int")) for j in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
 def _cell(n: Column, x: Column, c: Column) -> Column:
     return F.struct(n.alias("n"), x.alias("x"), c.alias("c"))
 
 
-def _here(item: Column, i: int | Column) -> Column:
-    return (item["p0"] == i) | (item["p1"] == i) | (item["p2"] == i)
+def _here(item: Column, i: Column) -> Column:
+    return F.getbit(item["cells"], i) == 1
 
 
 def sketch(items: Column) -> Column:
@@ -79,36 +83,33 @@ def peel(cells: Column, level: int) -> Column:
 
     def pure(state: Column) -> Column:
         single = F.filter(state["cells"], lambda v: (F.abs(v["n"]) == 1) & (v["c"] == _check(v["x"])))
-        return F.array_distinct(F.transform(single, lambda v: F.struct(v["n"].alias("n"), v["x"].alias("x"))))
+        once = F.array_distinct(F.transform(single, lambda v: F.struct(v["n"].alias("n"), v["x"].alias("x"), v["c"].alias("c"))))
+        return F.transform(once, lambda v: F.struct(v["n"].alias("n"), v["x"].alias("x"), v["c"].alias("c"), _cells(v["x"], level).alias("cells")))
 
     def one_round(state: Column, _: Column) -> Column:
-        return F.when(F.exists(state["cells"], lambda v: v["n"] != 0), taken(state)).otherwise(state)
-
-    def taken(state: Column) -> Column:
-        now = F.transform(
-            pure(state),
-            lambda v: F.struct(v["n"].alias("n"), v["x"].alias("x"), F.get(placed(F.array(v["x"]), level), F.lit(0)).alias("at")),
-        )
-        return F.transform(F.array(now), lambda found: after(state, found))[0]
+        return F.when(state["over"], state).otherwise(F.get(F.transform(F.array(pure(state)), lambda p: after(state, p)), F.lit(0)))
 
-    def after(state: Column, found: Column) -> Column:
+    def after(state: Column, taken: Column) -> Column:
         def remove(cell: Column, item: Column) -> Column:
-            return _cell(cell["n"] - item["n"], cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["at"]["c"]))
+            return _cell(cell["n"] - item["n"], cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["c"]))
+
+        def go_on() -> Column:
+            left = F.transform(state["cells"], lambda v, i: F.aggregate(F.filter(taken, lambda t: _here(t, i)), v, remove))
+            plain = F.transform(taken, lambda t: F.struct(t["n"].alias("n"), t["x"].alias("x")))
+            return F.struct(left.alias("cells"), F.concat(state["found"], plain).alias("found"), F.lit(False).alias("over"))
+
+        ended = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over"))
+        return F.when(F.size(taken) == 0, ended).otherwise(go_on())
+
+    start = F.struct(
+        cells.alias("cells"), F.expr("cast(array() as array<struct<n:int,x:bigint>>)").alias("found"), F.lit(False).alias("over")
+    )
 
-        left = F.transform(state["cells"], lambda v, i: F.aggregate(F.filter(found, lambda t: _here(t["at"], i)), v, remove))
-        plain = F.transform(found, lambda t: F.struct(t["n"].alias("n"), t["x"].alias("x")))
-        return F.struct(left.alias("cells"), F.concat(state["found"], plain).alias("found"))
+    def result(state: Column) -> Column:
+        rest = F.filter(state["cells"], lambda v: (v["n"] != 0) | (v["x"] != 0) | (v["c"] != 0))
+        return F.struct(state["found"].alias("found"), F.size(rest).alias("rest"))
 
-    start = F.struct(cells.alias("cells"), F.expr("cast(array() as array<struct<n:int,x:bigint>>)").alias("found"))
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    end = F.aggregate(rounds, start, one_round, lambda s: s)
-    return F.transform(
-        F.array(end),
-        lambda s: F.struct(
-            s["found"].alias("found"),
-            F.size(F.filter(s["cells"], lambda v: (v["n"] != 0) | (v["x"] != 0) | (v["c"] != 0))).alias("rest"),
-        ),
-    )[0]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, result)
 
 
 def written(cells: Column) -> Column:
@@ -142,12 +143,14 @@ def _following(keys: DataFrame) -> DataFrame:
     return dealt.withColumn("inside", inside).join(below, "run", "left").select("k", F.coalesce("inside", "top").alias("next"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``docs`` (doc_id and ``columns``) with ``next``, the ``columns`` of the next row by falling doc_id.
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column]) -> DataFrame:
+    """(doc_id, row, own, next, next_own) of every row: its ``columns`` and what is ``derived`` from ``row``, and the
+    same of the next row by falling doc_id.
 
     After the last row comes the first. Equal ids are ordered by their columns, rows without id stand last.
     Rows with ids of one run of ``GROUP_IDS`` numbers meet in one group; where a run ends, the row that follows
-    is sent along as a guest. So each row is shuffled once, plus one row for each run.
+    is sent along as a guest. So each row is shuffled once, plus one row for each run, and derived values
+    are computed once and never shuffled.
     """
     row = F.struct(*columns)
     run = F.floor(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 62))) / GROUP_IDS)
@@ -161,7 +164,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     visiting = docs.join(guests, F.col("doc_id").eqNullSafe(F.col("top_id")))
     visiting = visiting.select("doc_id", row.alias("row"), F.col("to_run").alias("run"), F.lit(True).alias("guest"))
     order = Window.partitionBy("run").orderBy("guest", F.col("doc_id").desc_nulls_last(), "row")
-    return own.unionByName(visiting).withColumn("next", F.lead("row").over(order)).filter("not guest").select("doc_id", "row", "next")
+    met = own.unionByName(visiting).withColumn("next", F.lead("row").over(order))
+    met = met.withColumn("own", F.struct(*[c.alias(n) for n, c in derived.items()])).withColumn("next_own", F.lead("own").over(order))
+    return met.filter("not guest").select("doc_id", "row", "own", "next", "next_own")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -177,11 +182,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = with_next(docs.select("doc_id", text.alias("text")).withColumn("set", digests(F.col("text"))), ["text", "set"])
+    own_set = digests(F.col("row.text"))
+    rows = with_next(docs.select("doc_id", text.alias("text")), ["text"], {"set": own_set})
     size = F.length("row.text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("row.text"), F.lit(1), size - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), F.col("row.set").alias("a"), F.col("next.set").alias("x"))
+    rows = rows.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), F.col("own.set").alias("a"), F.col("next_own.set").alias("x"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "x")
     rows = rows.select("*", *[sketch(placed(F.col(s), 0)).alias(f"sketch_{s}") for s in "aex"])
     pairs = [peel(subtract(F.col("sketch_a"), F.col(f"sketch_{s}")), 0).alias(f"peeled_{s}") for s in "ex"]
@@ -226,13 +232,13 @@ def _retried(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     done, level = None, 0
     while True:
         level += 1
-        bins = GROWTH**level
+        bins = F.ceil((F.size("left") + F.size("right")) * (1 << level - 1) / BIN_LOAD)
         sides = F.concat(
             F.transform("left", lambda d: F.struct(d.alias("x"), F.lit(True).alias("mine"))),
             F.transform("right", lambda d: F.struct(d.alias("x"), F.lit(False).alias("mine"))),
         )
-        each = pairs.select("row", "pair", F.explode(sides).alias("d")).select("row", "pair", "d.*")
-        each = each.withColumn("bin", F.pmod(F.xxhash64("x", F.lit("bin"), F.lit(level)), F.lit(bins)))
+        each = pairs.select("row", "pair", bins.alias("bins"), F.explode(sides).alias("d")).select("row", "pair", "bins", "d.*")
+        each = each.withColumn("bin", F.pmod(F.xxhash64("x", F.lit("bin"), F.lit(level)), F.col("bins")))
         in_bins = each.groupBy("row", "pair", "bin").agg(
             F.collect_list(F.when(F.col("mine"), F.col("x"))).alias("left"), F.collect_list(F.when(~F.col("mine"), F.col("x"))).alias("right")
         )
