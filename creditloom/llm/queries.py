@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, quality, secret_scan, sharding, simhash, sketch, toxicity
+from . import bpe, chat, decontaminate, language, quality, secret_scan, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -119,6 +119,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, _read(spark, folder, "labels")))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_read(spark, folder, "pages"), language.fit(_read(spark, folder, "documents")))
+
+
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -138,6 +142,6 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op7_language_id, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints)}
 
 SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL}
