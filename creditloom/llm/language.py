@@ -74,7 +74,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, size: int =
     if chosen is None:
         return TextModel(["und"], {}, np.zeros((0, 1)))
     ids = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).filter("lang is not null").select("text", "lang")
+    texts = docs.select("doc_id", "text", "lang").filter("lang is not null")
+    sample = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
