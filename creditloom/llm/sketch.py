@@ -19,7 +19,7 @@ ROUNDS = 16
 #: Digests of both texts for each bin when the smallest sketch was too small.
 BIN_LOAD = 10
 #: A line is cut at the first end of a sentence after so many characters.
-LEAST_CHARS = 100
+LEAST_CHARS = 300
 #: Consecutive ids whose rows meet in one group.
 GROUP_IDS = 1024
 
@@ -93,8 +93,12 @@ def peel(cells: Column, level: int) -> Column:
         def remove(cell: Column, item: Column) -> Column:
             return _cell(cell["n"] - item["n"], cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["c"]))
 
+        def changed(cell: Column, i: Column, bits: Column) -> Column:
+            return F.when(F.getbit(bits, i) == 0, cell).otherwise(F.aggregate(F.filter(taken, lambda t: _here(t, i)), cell, remove))
+
         def go_on() -> Column:
-            left = F.transform(state["cells"], lambda v, i: F.aggregate(F.filter(taken, lambda t: _here(t, i)), v, remove))
+            touched = F.aggregate(taken, F.lit(0).cast("bigint"), lambda all_cells, t: all_cells.bitwiseOR(t["cells"]))
+            left = F.get(F.transform(F.array(touched), lambda bits: F.transform(state["cells"], lambda v, i: changed(v, i, bits))), F.lit(0))
             plain = F.transform(taken, lambda t: F.struct(t["n"].alias("n"), t["x"].alias("x")))
             return F.struct(left.alias("cells"), F.concat(state["found"], plain).alias("found"), F.lit(False).alias("over"))
 
@@ -144,8 +148,8 @@ def _following(keys: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column]) -> DataFrame:
-    """(doc_id, row, own, next, next_own) of every row: its ``columns`` and what is ``derived`` from ``row``, and the
-    same of the next row by falling doc_id.
+    """(doc_id, row, own, next, next_own) of every row: its ``columns`` and what is ``derived``, one after the other, from
+    ``row``, and the same of the next row by falling doc_id.
 
     After the last row comes the first. Equal ids are ordered by their columns, rows without id stand last.
     Rows with ids of one run of ``GROUP_IDS`` numbers meet in one group; where a run ends, the row that follows
@@ -165,7 +169,9 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column]) -
     visiting = visiting.select("doc_id", row.alias("row"), F.col("to_run").alias("run"), F.lit(True).alias("guest"))
     order = Window.partitionBy("run").orderBy("guest", F.col("doc_id").desc_nulls_last(), "row")
     met = own.unionByName(visiting).withColumn("next", F.lead("row").over(order))
-    met = met.withColumn("own", F.struct(*[c.alias(n) for n, c in derived.items()])).withColumn("next_own", F.lead("own").over(order))
+    for name, value in derived.items():
+        met = met.withColumn(name, value)
+    met = met.withColumn("own", F.struct(*derived)).withColumn("next_own", F.lead("own").over(order))
     return met.filter("not guest").select("doc_id", "row", "own", "next", "next_own")
 
 
@@ -183,13 +189,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     own_set = digests(F.col("row.text"))
-    rows = with_next(docs.select("doc_id", text.alias("text")), ["text"], {"set": own_set})
+    rows = with_next(docs.select("doc_id", text.alias("text")), ["text"], {"set": own_set, "cells": sketch(placed(F.col("set"), 0))})
     size = F.length("row.text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("row.text"), F.lit(1), size - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), F.col("own.set").alias("a"), F.col("next_own.set").alias("x"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "x")
-    rows = rows.select("*", *[sketch(placed(F.col(s), 0)).alias(f"sketch_{s}") for s in "aex"])
+    rows = rows.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), F.col("own.set").alias("a"), F.col("next_own.set").alias("x"),
+                       F.col("own.cells").alias("sketch_a"), F.col("next_own.cells").alias("sketch_x"))
+    rows = rows.withColumn("e", digests(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    rows = rows.withColumn("sketch_e", sketch(placed(F.col("e"), 0)))
     pairs = [peel(subtract(F.col("sketch_a"), F.col(f"sketch_{s}")), 0).alias(f"peeled_{s}") for s in "ex"]
     rows = rows.select("*", *pairs)
     found = {
