@@ -18,9 +18,9 @@ from creditloom.schema import FEATURES, NUMERIC_FEATURES, SCORE_COLUMNS
 from creditloom.scratch import scratch_root
 from creditloom.sources.bundle import ModelBundle, bundle_errors
 from creditloom.sources.dataset import write_scored
-from creditloom.sources.loans import first_rows, read_loans, read_scoring_batch, sample_loans, select_loan_columns, source_fingerprint
+from creditloom.sources.loans import damaged_records, first_rows, read_loans, read_scoring_batch, sample_loans, select_loan_columns, source_fingerprint
 from creditloom.sources.testtables import loans, table
-from creditloom.streaming.scoring import read_requests, score_requests, write_scores
+from creditloom.streaming.scoring import answer_requests, read_requests, score_requests, write_scores
 
 from .catalog import query
 from .sql import CATEGORIES, LOANS, NUMBERS, PREPARED, RESOLVED
@@ -68,19 +68,50 @@ def first_loans(spark, folder):
     return first_rows(loans(spark, folder), 500).select("id", "grade")
 
 
-_WORDS = ", ".join(
-    f"cast(sum(cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint)) as bigint) as word{i + 1}" for i in range(4)
-)
+def _fingerprint_sql(name: str, columns: dict[str, str]) -> str:
+    ordered = sorted(columns)
+    layout = "".join(f"{len(c)}:{c}:{columns[c]};" for c in ordered)
+    field = "coalesce(concat(length(cast({c} as varchar)), ':', cast({c} as varchar)), '-')"
+    words = ", ".join(f"cast(sum(cast(cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint) as hugeint)) as varchar) as word{i + 1}" for i in range(4))
+    return f"""with h as (select md5(concat({', '.join(field.format(c=c) for c in ordered)})) as h from {name})
+select md5('{layout}') as layout, count(*) as rows, {words} from h"""
 
 
-@query(
-    f"""with h as (select md5(concat_ws('#', cast(o_custkey as varchar), cast(o_orderkey as varchar),
-  coalesce(o_orderpriority, '\\N'), coalesce(o_orderstatus, '\\N'))) as h from orders)
-select count(*) as rows, {_WORDS} from h"""
-)
+_ORDERS = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+_LINES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "timestamp_ntz",
+}
+
+
+@query(_fingerprint_sql("orders", _ORDERS))
 def table_fingerprint(spark, folder):
-    """Order-insensitive content fingerprint."""
-    return source_fingerprint(table(spark, folder, "orders"), ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"])
+    """Order-insensitive content fingerprint of all columns."""
+    return source_fingerprint(table(spark, folder, "orders"))
+
+
+@query(_fingerprint_sql("lineitem", _LINES))
+def line_fingerprint(spark, folder):
+    return source_fingerprint(table(spark, folder, "lineitem"))
+
+
+_RECORD = """concat(cast(o_orderkey as {text}), ',"', case when o_orderkey % 3 = 0 then 'a, ""b""' else 'c' end, '"',
+  case when o_orderkey % 10 = 0 then '' else ',x' end, case when o_orderkey % 7 = 0 then ',y' else '' end)"""
+
+
+@query(f"select {_RECORD.format(text='varchar')} as record from orders where (o_orderkey % 10 = 0) <> (o_orderkey % 7 = 0)")
+def csv_damaged_records(spark, folder):
+    """Records with a field too few or too many, out of a CSV folder with quotes and commas in its fields."""
+    path = f"{_folder(spark)}/csv"
+    records = table(spark, folder, "orders").select(F.expr(_RECORD.format(text="string")).alias("value"))
+    part = F.spark_partition_id().alias("part")
+    headed = records.withColumn("part", part).groupBy("part").agg(F.concat_ws("\n", F.lit("id,grade,sub_grade"), F.collect_list("value")).alias("value"))
+    headed.select("value").write.text(path)
+    return damaged_records(spark, path)
 
 
 @query(
@@ -243,18 +274,19 @@ def _stub_bundle() -> ModelBundle:
 _FORMULA = "least(greatest(least(greatest(dti, 0), 100) / 200 + fico_range_low / 4000 + coalesce(mort_acc, 1) / 50, 0), 1)"
 
 
-@query(f"with {LOANS} select id, round(loan_amnt, 6) as loan_amnt, int_rate, {_DECISION.format(p=_FORMULA)} from loans")
+@query(f"with {LOANS} select id, round(loan_amnt, 6) as loan_amnt, int_rate, round(p_raw, 6) as p_raw, 'kept' as features, {_DECISION.format(p=_FORMULA)} from loans")
 def scored_loans(spark, folder):
     """Raw rows scored with a bundle; the submitted columns come back unchanged."""
-    scored = score(loans(spark, folder).drop("p_raw"), _stub_bundle())
-    return scored.select("id", "loan_amnt", "int_rate", *SCORE_COLUMNS)
+    submitted = loans(spark, folder).withColumn("features", F.lit("kept"))
+    scored = score(submitted, _stub_bundle())
+    return scored.select("id", "loan_amnt", "int_rate", "p_raw", "features", *SCORE_COLUMNS)
 
 
 @query(f"with {LOANS} select id, int_rate, {_DECISION.format(p=_FORMULA)} from loans")
 def scored_csv(spark, folder):
     """CSV in, scored CSV out, read back."""
     root = _folder(spark)
-    write_scored(loans(spark, folder).drop("p_raw", "loan_status", "issue_d", "term"), f"{root}/in")
+    write_scored(loans(spark, folder).drop("loan_status", "issue_d", "term"), f"{root}/in")
     write_scored(score(read_scoring_batch(spark, f"{root}/in"), _stub_bundle()), f"{root}/out")
     back = read_scoring_batch(spark, f"{root}/out")
     numbers = {c: F.col(c).cast("double") for c in ("p_default", "p_non_default")}
@@ -293,6 +325,24 @@ def streamed_scores(spark, folder):
     return spark.read.parquet(f"{root}/out")
 
 
+@query(f"""with {LOANS}, r as (select id, cast(id as bigint) as k, {_request_rules()} as broken from loans)
+select case when k % 11 = 0 then null else id end as id, case when k % 11 = 0 then 'record: cannot be read'
+  when k % 13 = 0 then 'debt: not a field of a request' else broken end as violations
+from r where broken <> '' or k % 11 = 0 or k % 13 = 0""")
+def streamed_rejections(spark, folder):
+    """Refused requests of a stream of JSON files: broken rules, unknown fields and lines that are no JSON."""
+    root = _folder(spark)
+    requests = loans(spark, folder).select("id", *FEATURES)
+    k = F.col("id").cast("bigint")
+    plain, more = F.to_json(F.struct(*requests.columns)), F.to_json(F.struct(*requests.columns, F.lit(1).alias("debt")))
+    line = F.when(k % 11 == 0, F.concat(F.lit("{broken "), F.col("id"))).when(k % 13 == 0, more).otherwise(plain)
+    requests.select(line.alias("value")).write.text(f"{root}/in")
+    stream = read_requests(spark, f"{root}/in", requests.schema)
+    answer_requests(stream, _stub_bundle(), f"{root}/out", f"{root}/progress", available_now=True).awaitTermination()
+    refused = spark.read.parquet(f"{root}/out/refused")
+    return refused.select("id", F.array_join("violations", "; ").alias("violations"))
+
+
 @query("select d.doc_id, l.quality from documents d join labels l on d.doc_id = l.doc_id where l.quality is not null")
 def labelled_rows(spark, folder):
     """Rows without a label dropped before fitting."""

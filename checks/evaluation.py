@@ -490,7 +490,7 @@ def training_defaults(spark, folder):
     return local_rows(spark, rows, ["field", "value"], ["string", "double"])
 
 
-_IMPUTED = ("mort_acc", "revol_util", "loan_amnt")
+_IMPUTED = NUMERIC_FEATURES
 
 
 @query(
@@ -521,7 +521,7 @@ def category_codes(spark, folder):
     return ordinal_codes(category_counts(prepared(spark, folder), CATEGORICAL_FEATURES)).withColumn("code", F.col("code").cast("int"))
 
 
-_IMPORTANCE_FIELDS = ["dti", "fico_range_low", "loan_amnt", "grade"]
+_IMPORTANCE_FIELDS = list(FEATURES)
 _IMPORTANCE_FORMULA = "least(greatest({d} / 200 + {f} / 4000 + case when {g} = 'A' then 0.1::double else 0 end, 0), 1)"
 
 

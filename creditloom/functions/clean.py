@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-# Characters removed by a full strip; SQL ``trim`` alone removes blanks only.
-_WHITESPACE = " \t\n\r\f\v"
+# Characters removed by a full strip, Unicode blanks included; SQL ``trim`` alone removes blanks only.
+_WHITESPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:inf|infinity))\s*$"
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import TARGET
 from ..scratch import materialise
-from .metrics import metric_rows, score_table
+from .metrics import metric_rows
+from .ordered import ordered_table
 from .split import in_splits
 
 
@@ -47,20 +48,26 @@ def long_scores(df: DataFrame, scores: dict[str, str], target: str = TARGET) ->
 
 
 def comparison_metrics(long: DataFrame, roles: dict[str, str], target: str = TARGET) -> DataFrame:
-    """Metric row per model from one grouped pass. ``rows`` counts labels, scored or not."""
-    labels = long.groupBy("model_name").agg(F.count(target).alias("__labels"))
+    """Metric row per model; ``rows`` counts labels, scored or not.
+
+    The rows are reduced once, to counts per model and score; rows without a score are one of these counts,
+    so a model that scored nothing still has its row, with NULL metrics.
+    """
+    counts = materialise(
+        long.filter(F.col(target).isNotNull())
+        .select("model_name", F.nanvl("p", F.lit(None).cast("double")).alias("p"), F.col(target).cast("int").alias("y"))
+        .groupBy("model_name", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    )
+    labels = counts.groupBy("model_name").agg(F.sum("n").alias("__labels"))
+    scored = ordered_table(counts.filter(F.col("p").isNotNull()), ["p"], ["n", "pos"], ["model_name"])
     role = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
-    return (
-        metric_rows(score_table(long, "p", target, ["model_name"]))
-        .join(labels, "model_name")
-        .select(
-            "model_name",
-            role[F.col("model_name")].alias("model_role"),
-            F.col("__labels").alias("rows"),
-            F.col("actual_default_rate").alias("observed_default_rate"),
-            F.col("mean_predicted_default").alias("mean_predicted_default_rate"),
-            "roc_auc", "pr_auc", "brier_score", "log_loss",
-        )
+    return labels.join(metric_rows(scored), "model_name", "left").select(
+        "model_name",
+        role[F.col("model_name")].alias("model_role"),
+        F.col("__labels").alias("rows"),
+        F.col("actual_default_rate").alias("observed_default_rate"),
+        F.col("mean_predicted_default").alias("mean_predicted_default_rate"),
+        "roc_auc", "pr_auc", "brier_score", "log_loss",
     )
 
 

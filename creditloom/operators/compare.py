@@ -37,9 +37,31 @@ def ensure_same_ids(expected: DataFrame, actual: DataFrame, id_column: str = "id
         )
 
 
+def score_alignment(df: DataFrame, scores: DataFrame, id_column: str = "id") -> DataFrame:
+    """How scores that arrive as their own table fit the rows: one row of counts, in one shuffle.
+
+    unscored: rows without a score row; repeated: ids with several score rows; stray: score rows without a row.
+    """
+    marked = [d.select(F.col(id_column).alias("id"), *[F.lit(int(side == i)).alias(f"n{i}") for i in (0, 1)]) for side, d in enumerate((df, scores))]
+    per_id = marked[0].unionByName(marked[1]).groupBy("id").agg(F.sum("n0").alias("rows"), F.sum("n1").alias("scores"))
+    # A missing id matches nothing, like in the join.
+    matches = F.when(F.col("id").isNull(), 0).otherwise(F.col("scores"))
+    return per_id.agg(
+        F.coalesce(F.sum(F.when(matches == 0, F.col("rows"))), F.lit(0)).alias("unscored"),
+        F.count_if(F.col("scores") > 1).alias("repeated"),
+        F.coalesce(F.sum(F.when((F.col("rows") == 0) | F.col("id").isNull(), F.col("scores"))), F.lit(0)).alias("stray"),
+    )
+
+
 def attach_scores(df: DataFrame, scores: DataFrame, id_column: str = "id") -> DataFrame:
-    """Scores that arrive as their own table, joined on the id instead of on row position."""
-    return df.join(scores, id_column, "inner")
+    """Rows with the scores that arrive as their own table, joined on the id instead of on row position.
+
+    Every row stays once; a row without a score has NULL. An id with several scores is an error.
+    """
+    repeated = score_alignment(df, scores, id_column).first()["repeated"]
+    if repeated:
+        raise ValueError(f"{repeated} ids have more than one score")
+    return df.join(scores, id_column, "left")
 
 
 def rank_key(candidates: DataFrame, model_order: Sequence[str]) -> list:

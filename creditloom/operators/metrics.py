@@ -130,7 +130,7 @@ def calibration_summary(df: DataFrame, p: str = "p_default", y: str = TARGET, bi
 
 def summary_of(scores: OrderedTable, bins: int = 10, edge_digits: int | None = None) -> DataFrame:
     if not scores.parts:
-        raise ValueError("cannot summarize empty calibration frame")
+        raise ValueError("there are no rows with score and target to summarise")
     deciles = calibration_bins(scores, bins, edge_digits)
     columns = ["decile", "count", "mean_predicted_default", "observed_default_rate", "absolute_calibration_gap"]
     by = list(scores.by)

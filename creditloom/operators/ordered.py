@@ -149,24 +149,26 @@ def counted(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Order
 
 @dataclass
 class Cut:
-    """First row at or after a position in (primary, tie-break) order; ``tie`` None means the whole key."""
+    """First row at or after a position in (primary, tie-break) order; ``whole``: it is the first row of its key."""
 
     primary: object
-    tie: object | None
+    tie: object = None
+    whole: bool = False
 
     def reached(self, primary: Column, tie: Column) -> Column:
-        """Whether a row stands at or after the cut."""
+        """Whether a row stands at or after the cut; a missing tie-break stands before all others."""
         value = F.lit(self.primary)
-        if self.tie is None:
+        if self.whole:
             return primary >= value
-        return (primary > value) | ((primary == value) & (tie >= F.lit(self.tie)))
+        return (primary > value) | ((primary == value) & F.coalesce(tie >= F.lit(self.tie), F.lit(False)))
 
 
 def cuts_at(df: DataFrame, primary: str, tie: str, positions: Iterable[int]) -> dict[int, Cut]:
     """Exact cut keys at zero-based positions of the order (``primary``, ``tie``).
 
-    Primary keys are counted first. Only keys that straddle a wanted position have their rows ordered
-    by ``tie``, over as many range partitions as they need.
+    Primary keys are counted first. Only keys that straddle a wanted position have their tie-breaks counted and
+    ordered, over as many range partitions as they need. A position inside rows with the same key and
+    tie-break (repeated or missing ids) has no cut key; that is an error which names how many rows they are.
     """
     places = sorted({int(p) for p in positions})
     hits = counted(df, [primary]).rows_at({(): places}, "n")[()]
@@ -174,14 +176,16 @@ def cuts_at(df: DataFrame, primary: str, tie: str, positions: Iterable[int]) ->
     straddling: dict[object, list[tuple[int, int]]] = {}
     for place, row in hits.items():
         if row["before_n"] == place:
-            cuts[place] = Cut(row[primary], None)
+            cuts[place] = Cut(row[primary], whole=True)
         else:
             straddling.setdefault(row[primary], []).append((place, place - row["before_n"]))
     if straddling:
-        rows = df.filter(F.col(primary).isin(*straddling)).select(primary, tie, F.lit(1).alias("n"))
-        ties = ordered_table(rows, [tie], ["n"], [primary])
+        ties = counted(df.filter(F.col(primary).isin(*straddling)), [tie], [primary])
         wanted = {(key,): [offset for _, offset in pairs] for key, pairs in straddling.items()}
         for (key,), rows_by_offset in ties.rows_at(wanted, "n").items():
             for place, offset in straddling[key]:
-                cuts[place] = Cut(key, rows_by_offset[offset][tie])
+                row = rows_by_offset[offset]
+                if row["before_n"] != offset:
+                    raise ValueError(f"{row['n']} rows share {primary}={key} and {tie}={row[tie]}: no cut between them is reproducible")
+                cuts[place] = Cut(key, row[tie])
     return cuts

@@ -11,6 +11,10 @@ RESOLVED_STATUSES = GOOD_STATUSES + BAD_STATUSES
 KNOWN_STATUSES = RESOLVED_STATUSES + UNRESOLVED_STATUSES
 
 
+#: Unknown values that an error names; a wrong column may hold one for every row.
+NAMED_STATUSES = 50
+
+
 def status_text(column: str = "loan_status") -> Column:
     return strip(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
@@ -29,7 +33,7 @@ def construct_target(df: DataFrame, unknown: str = "list") -> DataFrame:
     """Keep resolved loans and add the 0/1 target.
 
     An unknown status is always an error. ``unknown="list"`` looks for them first, in one pass over
-    the status column, and names them all. ``unknown="fail_fast"`` puts the check into the row filter
+    the status column, and names the first ``NAMED_STATUSES``. ``unknown="fail_fast"`` puts the check into the row filter
     itself, so that large tables are read only once; the failing job then names the first one met.
     """
     if "loan_status" not in df.columns:
@@ -37,9 +41,10 @@ def construct_target(df: DataFrame, unknown: str = "list") -> DataFrame:
     status = status_text()
     resolved = status.isin(*RESOLVED_STATUSES)
     if unknown == "list":
-        found = sorted(row[0] for row in unknown_statuses(df).select("loan_status").collect())
+        found = sorted(row[0] for row in unknown_statuses(df).orderBy("loan_status").limit(NAMED_STATUSES + 1).select("loan_status").collect())
         if found:
-            raise ValueError(f"unknown loan_status values: {found}")
+            more = " and more; unknown_statuses() lists all" if len(found) > NAMED_STATUSES else ""
+            raise ValueError(f"unknown loan_status values: {found[:NAMED_STATUSES]}{more}")
         keep = resolved
     elif unknown == "fail_fast":
         keep = (

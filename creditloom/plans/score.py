@@ -7,25 +7,36 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.clean import risk_band
 from ..operators.guards import ensure_allowed_features, ensure_fields_present
 from ..operators.prepare import scoring_features
-from ..schema import DEFAULT_LOW_MAX, DEFAULT_MEDIUM_MAX
+from ..schema import DEFAULT_LOW_MAX, DEFAULT_MEDIUM_MAX, SCORE_COLUMNS
 from ..sources.bundle import ModelBundle
 from .features import FEATURES_COLUMN
-from .models import RAW_SCORE, predict_raw
+from .models import predict_raw
+
+
+_SUBMITTED = "__submitted"
 
 
 def ensure_scorable(bundle: ModelBundle) -> None:
     ensure_allowed_features(bundle.feature_columns)
     if bundle.calibrator is None:
-        raise ValueError("scoring requires a calibrated model bundle")
+        raise ValueError("this bundle holds no calibrator, so its scores are not probabilities")
 
 
 def score(df: DataFrame, bundle: ModelBundle) -> DataFrame:
-    """Submitted rows, unchanged, with the six score columns appended."""
+    """Submitted rows, unchanged, with the six score columns appended.
+
+    Submitted columns travel in one struct, so none can meet a column of the model, whatever it is called. A
+    submitted column with the name of a score column is an error.
+    """
     ensure_scorable(bundle)
     ensure_fields_present(df, bundle.feature_columns)
-    packed = df.withColumn(FEATURES_COLUMN, scoring_features(df, bundle.feature_columns))
+    taken = [c for c in df.columns if c in SCORE_COLUMNS]
+    if taken:
+        raise ValueError(f"submitted columns carry names of score columns: {', '.join(taken)}")
+    features = scoring_features(df, bundle.feature_columns).alias(FEATURES_COLUMN)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(_SUBMITTED), features)
     calibrated = bundle.calibrator.apply(predict_raw(bundle.model, packed))
-    return add_decision(calibrated.drop(FEATURES_COLUMN, RAW_SCORE), bundle.metadata, bundle.model_type)
+    return add_decision(calibrated.select(f"{_SUBMITTED}.*", "p_default"), bundle.metadata, bundle.model_type)
 
 
 def add_decision(df: DataFrame, metadata: dict, model_type: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 import platform
 from collections.abc import Sequence
 
@@ -55,6 +56,8 @@ def bundle_metadata(selected: Candidate, features: Sequence[str], dataset: LoanD
     ]
     return {
         "bundle_schema_version": 1,
+        "training_timestamp": datetime.now(timezone.utc).isoformat(),
+        "rejected_applications": "renamed and cleaned for description only; without an outcome they never enter training",
         "model_version": MODEL_VERSION,
         "target_name": TARGET,
         "target_definition": "resolved accepted/funded loan default target",
@@ -98,7 +101,7 @@ def _bundle(selected: Candidate, features: Sequence[str], metadata: dict) -> Mod
     schema = {"schema_version": 1, "required_fields": list(features), "forbidden_fields": metadata["forbidden_feature_columns"]}
     return ModelBundle(
         selected.model, selected.calibrator, list(features), f"calibrated_{selected.model_name}", metadata, schema
-    ).with_timestamp()
+    )
 
 
 def train(source: DataFrame, output: str, options: TrainingOptions | None = None, sample: int | None = None, validation_only: bool = False, context: str | None = None, dataset_root: str | None = None) -> ModelBundle:

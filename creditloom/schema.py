@@ -91,7 +91,7 @@ REQUIRED_METADATA = (
     "target_definition", "forbidden_feature_columns", "training_timestamp", "package_versions",
 )
 LIMITATIONS = (
-    "accepted-loan selection bias",
-    "rejected applications are unlabeled and excluded from supervised default modeling",
-    "not validated for production underwriting or fair-lending use",
+    "fitted on approved loans only, so applicants who were turned down are not represented",
+    "applications that were turned down carry no outcome and take no part in training",
+    "neither lending decisions nor equal treatment of applicants have been examined with it",
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import ordered_table
@@ -17,20 +17,48 @@ CSV_READ = {"header": True, "quote": '"', "escape": '"'}
 CSV_WRITE = {**CSV_READ, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv_text(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+#: Text of a record that does not have the fields of the header; NULL for all others.
+DAMAGED = "_damaged_record"
+
+
+def read_csv_text(spark: SparkSession, path: str, mode: str = "PERMISSIVE", multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column as text. The header is the only thing read ahead.
 
-    Types are never inferred: that would scan everything and still guess.
+    Types are never inferred: that would scan everything and still guess. In ``PERMISSIVE`` mode the column
+    ``DAMAGED`` holds the text of records with too few or too many fields; for that all fields have to be
+    parsed. ``multi_line`` reads line breaks inside quotes, at the price of one task for each file.
     """
-    names = spark.read.options(**CSV_READ).csv(path).columns
+    options = {**CSV_READ, "multiLine": multi_line}
+    names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.options(**CSV_READ, mode=mode).schema(schema).csv(path)
+    if mode == "PERMISSIVE":
+        schema = schema.add(DAMAGED, T.StringType())
+        options |= {"columnNameOfCorruptRecord": DAMAGED, "columnPruning": False}
+    return spark.read.options(**options, mode=mode).schema(schema).csv(path)
+
+
+def damaged_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The records of a CSV file or folder that do not have the fields of its header, as (record)."""
+    df = read_csv_text(spark, path, multi_line=multi_line)
+    # Spark does not read the text of damaged records alone; nothing of the first field is added to it.
+    record = F.concat(F.col(DAMAGED), F.left(F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit("")), F.lit(0)))
+    return df.filter(F.col(DAMAGED).isNotNull()).select(record.alias("record"))
+
 
+def read_loans(
+    spark: SparkSession, path: str, features: Sequence[str] = FEATURES, source_format: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    """Only the needed columns of a loan file or folder; absent ones are tolerated.
 
-def read_loans(spark: SparkSession, path: str, features: Sequence[str] = FEATURES, source_format: str = "csv") -> DataFrame:
-    """Only the needed columns of a loan file or folder; absent ones are tolerated."""
-    df = read_csv_text(spark, path) if source_format == "csv" else spark.read.format(source_format).load(path)
-    return select_loan_columns(df, features)
+    A damaged CSV record fails the job that reads it, with its text; ``damaged_records`` lists them all. A line
+    break inside a quoted field damages its record unless ``multi_line`` is set.
+    """
+    if source_format != "csv":
+        return select_loan_columns(spark.read.format(source_format).load(path), features)
+    df = read_csv_text(spark, path, multi_line=multi_line)
+    message = F.concat(F.lit("damaged CSV record: "), F.col(DAMAGED))
+    whole = F.when(F.col(DAMAGED).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+    return select_loan_columns(df.filter(whole), features)
 
 
 def select_loan_columns(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -87,21 +115,31 @@ def sample_loans(df: DataFrame, n: int, seed: int = 42, month: str = "issue_mont
     return inside.select(*df.columns).unionByName(taken.select(*df.columns)).unionByName(undated)
 
 
+def _field(name: str) -> Column:
+    """A value with its length in front, so fields cannot run into each other; a NULL is a sign no text can spell."""
+    text = F.col(f"`{name}`").cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def source_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Content fingerprint of a table as one row: row count and four sums of row-hash words.
+    """Content fingerprint of a table as one row: hash of names and types, row count, and four sums of row-hash words.
 
-    One pass with map-side sums. Row order does not matter, repeated rows count, and a NULL differs
-    from an empty text.
+    One pass with map-side sums. Row order does not matter, repeated rows count, and a NULL differs from any
+    text. The sums are decimals: words of 32 bits of any number of rows that a table can hold fit.
     """
     columns = list(columns or sorted(df.columns))
-    text = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    digest = F.md5(text)
-    word = lambda i: F.conv(F.substring(F.col("h"), 1 + 8 * i, 8), 16, 10).cast("bigint")
+    layout = "".join(f"{len(c)}:{c}:{df.schema[c].dataType.simpleString()};" for c in columns)
+    digest = F.md5(F.concat(*[_field(c) for c in columns]))
+
+    def word(i: int) -> Column:
+        return F.conv(F.substring(F.col("h"), 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)")
+
     return df.select(digest.alias("h")).agg(
-        F.count("*").alias("rows"), *[F.coalesce(F.sum(word(i)), F.lit(0)).alias(f"word{i + 1}") for i in range(4)]
+        F.md5(F.lit(layout)).alias("layout"), F.count("*").alias("rows"),
+        *[F.coalesce(F.sum(word(i)), F.lit(0)).cast("string").alias(f"word{i + 1}") for i in range(4)],
     )
 
 
 def fingerprint_text(df: DataFrame, columns: Sequence[str] | None = None) -> str:
     row = source_fingerprint(df, columns).first()
-    return "-".join(str(row[c]) for c in ("rows", "word1", "word2", "word3", "word4"))
+    return "-".join(str(row[c]) for c in ("layout", "rows", "word1", "word2", "word3", "word4"))

@@ -107,7 +107,7 @@ def test_rejected_applications_get_no_target(spark):
 def test_feature_guards(spark):
     with pytest.raises(ValueError, match="forbidden model features: loan_status, recoveries"):
         ensure_no_forbidden_features(["dti", "recoveries", "loan_status"])
-    with pytest.raises(ValueError, match="allowlist"):
+    with pytest.raises(ValueError, match="not among the features"):
         ensure_allowed_features(["dti", "zip_code"])
     with pytest.raises(ValueError, match="missing required scoring fields: grade"):
         ensure_fields_present(text_frame(spark, [{"dti": "1"}]), ["dti", "grade"])
@@ -135,3 +135,46 @@ def test_request_rules(spark):
 def test_risk_band_treats_missing_as_high(spark):
     df = spark.createDataFrame([(0.05,), (0.1,), (0.2,), (None,), (float("nan"),)], "p double")
     assert [r[0] for r in df.select(risk_band(F.col("p"), 0.1, 0.2)).collect()] == ["low", "medium", "high", "high", "high"]
+
+
+def test_fingerprints_that_must_differ(spark):
+    from creditloom.sources.loans import fingerprint_text, source_fingerprint
+
+    first = spark.createDataFrame([("a#b", "c"), (None, "x")], "p string, q string")
+    second = spark.createDataFrame([("a", "b#c"), ("\\N", "x")], "p string, q string")
+    prints = {fingerprint_text(df) for df in (first, second, first.withColumnRenamed("p", "r"), first.unionByName(first), first.limit(0))}
+    assert len(prints) == 5
+    assert fingerprint_text(first) == fingerprint_text(first.orderBy("q"))
+    # Sums beyond 64 bits: the type of a word leaves room for as many rows as a table can have.
+    row = source_fingerprint(spark.range(3))
+    assert all(f.dataType.simpleString() == "string" for f in row.schema if f.name.startswith("word"))
+    wide = spark.range(10).selectExpr("cast(4294967295 as decimal(28,0)) * cast(9000000000 as decimal(10,0)) as w").agg({"w": "sum"})
+    assert wide.first()[0] == 10 * 4294967295 * 9000000000 > 2**63
+
+
+def test_damaged_csv_records(spark, tmp_path):
+    from creditloom.sources.loans import damaged_records, read_loans
+
+    (tmp_path / "loans.csv").write_text('id,grade,term\n1,"A, ""x""",36\n2,B\n3,C,36,60\n4,D,60\n')
+    assert sorted(r["record"] for r in damaged_records(spark, str(tmp_path)).collect()) == ["2,B", "3,C,36,60"]
+    with pytest.raises(Exception, match="damaged CSV record"):
+        read_loans(spark, str(tmp_path), ["grade"]).collect()
+    (tmp_path / "loans.csv").write_text('id,grade,term\n1,"A\nx",36\n2,B,60\n')
+    with pytest.raises(Exception, match="damaged CSV record"):
+        read_loans(spark, str(tmp_path), ["grade"]).collect()
+    whole = read_loans(spark, str(tmp_path), ["grade"], multi_line=True)
+    assert sorted(tuple(r) for r in whole.select("id", "grade").collect()) == [("1", "A\nx"), ("2", "B")]
+
+
+def test_unicode_blanks_are_stripped(spark):
+    from creditloom.functions.clean import strip
+
+    df = spark.createDataFrame([(" Fully Paid 　",)], "s string")
+    assert df.select(strip(F.col("s"))).first()[0] == "Fully Paid"
+
+
+def test_many_unknown_statuses_are_not_all_named(spark):
+    df = spark.range(5000).selectExpr("concat('status ', id) as loan_status")
+    with pytest.raises(ValueError, match="and more"):
+        construct_target(df)
+    assert unknown_statuses(df).count() == 5000

@@ -134,7 +134,7 @@ def test_single_class_and_missing_scores(spark):
     assert rows["b"]["rows"] == 2 and rows["b"]["roc_auc"] == 0.5
     one = score_table(df.filter("g = 'a'"), "p")
     assert roc_points(one).isEmpty() and pr_points(one).isEmpty()
-    with pytest.raises(ValueError, match="empty calibration frame"):
+    with pytest.raises(ValueError, match="no rows with score and target"):
         summary_of(score_table(df.filter("false"), "p"))
 
 

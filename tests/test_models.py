@@ -5,7 +5,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from creditloom.operators.compare import attach_scores, comparison_table, ensure_same_ids, id_set_difference, select_best, top_features
+from creditloom.operators.compare import attach_scores, comparison_table, ensure_same_ids, id_set_difference, score_alignment, select_best, top_features
 from creditloom.operators.metrics import metric_rows, score_table
 from creditloom.plans.calibrate import Calibrator, fit_calibrator
 from creditloom.plans.evaluate import data_context
@@ -123,7 +123,7 @@ def test_scoring_with_a_stub(spark):
     with pytest.raises(ValueError, match="calibrated"):
         score(df, bare)
     bare.feature_columns = ["zip"]
-    with pytest.raises(ValueError, match="allowlist"):
+    with pytest.raises(ValueError, match="not among the features"):
         score(df, bare)
 
 
@@ -164,7 +164,7 @@ def test_training_options():
 def test_contexts():
     assert data_context(None) == "full_lendingclub_local" and data_context(100) == "smoke_sample"
     assert data_context(None, "synthetic_test_fixture") == "synthetic_test_fixture"
-    with pytest.raises(ValueError, match="unknown artifact_data_context"):
+    with pytest.raises(ValueError, match="no such data context"):
         data_context(None, "x")
 
 
@@ -197,4 +197,7 @@ def test_id_sets(spark):
         ensure_same_ids(left, right)
     ensure_same_ids(left, left.select(F.col("id").cast("string")))
     scores = spark.createDataFrame([(3, 0.3), (1, 0.1)], "id int, p double")
-    assert sorted(tuple(r) for r in attach_scores(left, scores).collect()) == [(1, 0.1), (3, 0.3)]
+    assert sorted(tuple(r) for r in attach_scores(left, scores).collect()) == [(1, 0.1), (2, None), (3, 0.3)]
+    assert tuple(score_alignment(left, scores.union(scores.filter("id = 1"))).first()) == (1, 1, 0)
+    with pytest.raises(ValueError, match="1 ids have more than one score"):
+        attach_scores(left, scores.union(scores.filter("id = 1")))

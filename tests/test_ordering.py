@@ -120,3 +120,16 @@ def test_sample_keeps_every_month_and_its_share(many_parts):
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_cuts_with_missing_and_repeated_ties(spark):
+    from creditloom.operators.ordered import cuts_at
+
+    rows = [(1, None), (1, None), (1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, None)]
+    df = spark.createDataFrame(rows, "d int, id string")
+    cuts = cuts_at(df, "d", "id", [2, 3, 5, 6])
+    for place, cut in cuts.items():
+        assert df.filter(~cut.reached(F.col("d"), F.col("id"))).count() == place
+    for inside in (1, 4):
+        with pytest.raises(ValueError, match="2 rows share d=1"):
+            cuts_at(df, "d", "id", [inside])
