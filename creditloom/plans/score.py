@@ -19,7 +19,7 @@ _SUBMITTED = "__submitted"
 def ensure_scorable(bundle: ModelBundle) -> None:
     ensure_allowed_features(bundle.feature_columns)
     if bundle.calibrator is None:
-        raise ValueError("this bundle holds no calibrator, so its scores are not probabilities")
+        raise ValueError("no calibrator in this bundle, so its scores cannot be calibrated")
 
 
 def score(df: DataFrame, bundle: ModelBundle) -> DataFrame:
