@@ -245,7 +245,8 @@ def first_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     ids = near_duplicates(docs, size, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = materialise(ids.groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("__id"), "rows"))
     same_id = docs["doc_id"].eqNullSafe(ids["__id"])
-    rows = docs.join(ids.filter("rows = 1"), same_id, "left_semi")
+    # Both sides are shuffled at every size: the kept ids grow with the documents, so they are never broadcast.
+    rows = docs.join(ids.filter("rows = 1").hint("merge"), same_id, "left_semi")
     others = [c for c in docs.columns if c != "doc_id"]
     repeated = docs.join(ids.filter("rows > 1"), same_id, "left_semi")
     chosen = repeated.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__row"))
