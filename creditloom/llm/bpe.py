@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .batches import pieces
 
-#: Words, and states of the byte table, that a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Words, and states of the byte table, that a task remembers; beyond that it starts anew.
+REMEMBERED = 100_000
 _NEVER = 1 << 60
 
 
@@ -71,7 +71,7 @@ class Automaton:
             self.token[node] = made
         self.length = {t: len(s) for t, s in symbols.items()}
         self.words = _Words(spec)
-        self._forget()
+        self.forget()
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether the state behind ``last`` has an arc ``token``."""
@@ -93,7 +93,7 @@ class Automaton:
             before = self.born[last]
             last = self.parts[last][1]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Only the start of a word, where any arc can begin, is known."""
         self.moves: dict[int, int] = {}
         self.numbers: dict[tuple, int] = {((-1, 0),): 0}
@@ -130,7 +130,7 @@ class Automaton:
         entered when a word first needs them, and forgotten when they are too many.
         """
         if len(self.open) > REMEMBERED:
-            self._forget()
+            self.forget()
         state, moves, ending, ends = 0, self.moves, self.ending, []
         for b in word[:-1]:
             key = state << 9 | b
@@ -268,15 +268,15 @@ def _unpacked(ids: bytes) -> list[int]:
     return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
 
 
-_loaded: dict[int, Coder] = {}
+_loaded: dict[int, Automaton] = {}
 
 
-def _coder(source: str) -> Coder:
+def _automaton(source: str) -> Automaton:
     """One per worker and file."""
     key = hash(source)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Coder(Automaton(source))
+        _loaded[key] = Automaton(source)
     return _loaded[key]
 
 
@@ -293,13 +293,15 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(source.value)
+        automaton = _automaton(source.value)
+        coder = Coder(automaton)  # what it remembers goes with the task
         for batch in pieces(batches):
             coded = [coder.code(text.as_py() or "") for text in batch.column(1)]
             ids, texts = zip(*coded)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
             )
+        automaton.forget()
 
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
