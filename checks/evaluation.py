@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from creditloom.operators.bands import amount_bands, subgroup_reliability
@@ -15,7 +16,17 @@ from creditloom.operators.prepare import prepare_loans
 from creditloom.operators.quantiles import exact_medians
 from creditloom.operators.split import date_quality, fold_blocks, fold_sizes, in_splits, split_chronological, split_count_report, split_summary, test_ids
 from creditloom.plans.calibrate import fit_calibrator
-from creditloom.plans.features import category_counts, imputed_moments, most_frequent, ordinal_codes, pack_features
+from creditloom.plans.features import (
+    VECTOR_COLUMN,
+    category_counts,
+    fit_feature_stats,
+    imputed_moments,
+    linear_encoder,
+    most_frequent,
+    ordinal_codes,
+    pack_features,
+    tree_encoder,
+)
 from creditloom.plans.importance import permutation_importance
 from creditloom.plans.models import fit_model, predict_raw
 from creditloom.plans.select import FOLD_METRICS, TrainingOptions, comparison_rows, fold_means, select_candidate
@@ -521,6 +532,51 @@ def category_codes(spark, folder):
     return ordinal_codes(category_counts(prepared(spark, folder), CATEGORICAL_FEATURES)).withColumn("code", F.col("code").cast("int"))
 
 
+def _encoded_sql() -> str:
+    medians = ", ".join(f"quantile_cont({c}, 0.5::double) as m_{c}" for c in NUMERIC_FEATURES)
+    modes = ", ".join(f"max(case when feature = '{c}' then value end) as o_{c}" for c in CATEGORICAL_FEATURES)
+    numbers = ", ".join(f"round(coalesce(p.{c}, m_{c}), 6) + 0.0::double as {c}" for c in NUMERIC_FEATURES)
+    codes = ", ".join(
+        f"(select count(*) from k where feature = '{c}' and value < coalesce(p.{c}, o_{c}))::int as {c}" for c in CATEGORICAL_FEATURES
+    )
+    return f"""{PREPARED}, {_COUNTED}, m as (select {medians} from prepared),
+best as (select feature, value from (select *, row_number() over (partition by feature order by n desc, value) as r from k) where r = 1),
+o as (select {modes} from best)
+select p.id, {numbers}, {codes} from prepared p, m, o"""
+
+
+@query(f"with {_encoded_sql()}")
+def encoded_tree(spark, folder):
+    """What the tree models read: imputed numbers and the ordinal codes of imputed categories."""
+    packed = pack_features(prepared(spark, folder), FEATURES)
+    stats = fit_feature_stats(prepared(spark, folder), FEATURES)
+    columns = list(stats.medians)
+    size = len(columns) + sum(1 for n in stats.missing.values() if n)
+    codes = [c for c in CATEGORICAL_FEATURES if c in stats.categories]
+    encoded = tree_encoder(spark, stats).transform(packed).select("id", vector_to_array(VECTOR_COLUMN).alias("v"))
+    return encoded.select(
+        "id", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)],
+        *[F.col("v")[size + i].cast("int").alias(c) for i, c in enumerate(codes)],
+    )
+
+
+@query(f"with {_encoded_sql()}")
+def encoded_linear(spark, folder):
+    """What the linear models read, turned back: scaled numbers times deviation plus mean, and the place of the one in each block."""
+    packed = pack_features(prepared(spark, folder), FEATURES)
+    stats = fit_feature_stats(prepared(spark, folder), FEATURES)
+    encoded = linear_encoder(packed, stats).transform(packed).select("id", vector_to_array(VECTOR_COLUMN).alias("v"))
+    numbers = [
+        (F.col("v")[i] * F.lit(stats.deviations[c] or 1.0) + F.lit(stats.means[c])).alias(c) for i, c in enumerate(stats.medians)
+    ]
+    start, places = len(stats.medians) + sum(1 for n in stats.missing.values() if n), []
+    for c in CATEGORICAL_FEATURES:
+        size = len(stats.categories[c])
+        places.append((F.array_position(F.slice("v", start + 1, size), 1.0) - 1).cast("int").alias(c))
+        start += size
+    return encoded.select("id", *numbers, *places)
+
+
 _IMPORTANCE_FIELDS = list(FEATURES)
 _IMPORTANCE_FORMULA = "least(greatest({d} / 200 + {f} / 4000 + case when {g} = 'A' then 0.1::double else 0 end, 0), 1)"
 

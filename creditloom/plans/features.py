@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators.guards import ensure_no_forbidden_features
 from ..operators.quantiles import exact_medians, unpivot_values
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from ..scratch import local_rows
+from ..scratch import local_rows, materialise
 
 FEATURES_COLUMN = "features"
 VECTOR_COLUMN = "__vector"
@@ -81,20 +81,21 @@ def fit_feature_stats(df: DataFrame, features: Sequence[str]) -> FeatureStats:
     numeric, categorical = feature_groups(features)
     medians = {c: m for c, m in exact_medians(df, numeric).items() if m is not None}
     moments = imputed_moments(df, medians).first()
-    modes: dict[str, tuple[int, str]] = {}
+    modes: dict[str, str] = {}
     categories: dict[str, list[str]] = {}
     if categorical:
-        for feature, value, n in category_counts(df, categorical).collect():  # the category lists
-            categories.setdefault(feature, []).append(value)
-            modes[feature] = min(modes.get(feature, (0, "")), (-n, value))
+        counts = materialise(category_counts(df, categorical))
+        modes = {r["feature"]: r["mode"] for r in most_frequent(counts).collect()}  # one row per feature
+        for r in ordinal_codes(counts).orderBy("feature", "code").collect():  # the category lists
+            categories.setdefault(r["feature"], []).append(r["value"])
     return FeatureStats(
         rows=moments["rows"],
         medians=medians,
         missing={c: moments[f"missing_{c}"] for c in medians},
         means={c: moments[f"mean_{c}"] for c in medians},
         deviations={c: moments[f"deviation_{c}"] for c in medians},
-        modes={f: m[1] for f, m in modes.items()},
-        categories={f: sorted(v) for f, v in categories.items()},
+        modes=modes,
+        categories=categories,
     )
 
 
