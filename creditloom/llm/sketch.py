@@ -222,7 +222,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     wide = late.groupBy("row").agg(
         *[F.max(F.when(F.col("pair") == s, F.col(k))).alias(f"late_{k}_{s}") for s in "ex" for k in ("left", "right")]
     )
-    final = first.drop("a", "e", "x").join(wide, "row", "left")
+    # Only rows with an open difference meet the late results, in a shuffle at every size; the others pass by.
+    waiting = first.filter("a is not null").drop("a", "e", "x").join(wide.hint("merge"), "row", "left")
+    at_once = first.filter("a is null").drop("a", "e", "x").withColumns({c: F.lit(None).cast("bigint") for c in wide.columns if c != "row"})
+    final = waiting.unionByName(at_once)
     differ = {f"{k}_{s}": F.coalesce(f"{k}_{s}", f"late_{k}_{s}") for s in "ex" for k in ("left", "right")}
     near = {
         name: likeness(F.col("size_a"), F.col(f"size_{s}"), differ[f"left_{s}"] + differ[f"right_{s}"])
@@ -261,4 +264,4 @@ def _retried(spark: SparkSession, pairs: DataFrame) -> DataFrame:
         failed = tried.filter("rest > 0")
         if failed.isEmpty():
             return done
-        pairs = pairs.join(failed.select("row", "pair"), ["row", "pair"], "left_semi")
+        pairs = pairs.join(failed.select("row", "pair").hint("merge"), ["row", "pair"], "left_semi")
