@@ -647,22 +647,22 @@ def _fitted_metrics(spark, folder, name, **settings):
 @query()
 def logistic_model(spark, folder):
     """Validation metrics of the logistic model."""
-    return _fitted_metrics(spark, folder, "logistic", maxIter=30)
+    return _fitted_metrics(spark, folder, "logistic")
 
 
 @query()
 def balanced_logistic_model(spark, folder):
-    return _fitted_metrics(spark, folder, "logistic_balanced", maxIter=30)
+    return _fitted_metrics(spark, folder, "logistic_balanced")
 
 
 @query()
 def forest_model(spark, folder):
-    return _fitted_metrics(spark, folder, "random_forest", numTrees=10, maxDepth=6)
+    return _fitted_metrics(spark, folder, "random_forest")
 
 
 @query()
 def boosted_trees_model(spark, folder):
-    return _fitted_metrics(spark, folder, "hist_gradient_boosting", maxIter=5)
+    return _fitted_metrics(spark, folder, "hist_gradient_boosting")
 
 
 @query()
