@@ -238,11 +238,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
 
 
 def first_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; repeated rows of that id stay once.
+    """``kept`` of the components of ``near_duplicates``."""
+    return kept(docs, near_duplicates(docs, size, radius))
+
+
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component in ``found``; repeated rows of that id stay once.
 
     All columns stay. Rows without a doc_id stay only in components that have no doc_id at all.
     """
-    ids = near_duplicates(docs, size, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = materialise(ids.groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("__id"), "rows"))
     same_id = docs["doc_id"].eqNullSafe(ids["__id"])
     # Both sides are shuffled at every size: the kept ids grow with the documents, so they are never broadcast.

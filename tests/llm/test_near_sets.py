@@ -1,0 +1,57 @@
+import random
+
+import corpus_pipeline
+import small
+from test_simhash import brute_classes
+
+from creditloom.llm import near_sets, simhash
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset([tuple(words)] if 0 < len(words) < 5 else zip(*(words[i:] for i in range(5))))
+
+
+def brute_components(rows):
+    sets = list({brute_set(t) for _, t in rows})
+    close = lambda a, b: not a and not b or len(a & b) * 5 >= len(a | b) * 4
+    number = range(len(sets))
+    root = brute_classes(number, [(i, j) for i in number for j in number if i < j and close(sets[i], sets[j])])
+    of, least = {s: root[i] for i, s in enumerate(sets)}, {}
+    for i, t in rows:
+        if i is not None:
+            least[of[brute_set(t)]] = min(i, least.get(of[brute_set(t)], i))
+    return sorted(((i, least.get(of[brute_set(t)])) for i, t in rows), key=small.key)
+
+
+def edited(generator, words, n):
+    words = list(words)
+    for at in generator.sample(range(len(words)), n):
+        words[at] = f"new{generator.getrandbits(30)}"
+    return words
+
+
+def group(generator, start, n, length, most):
+    base = [f"w{generator.getrandbits(30)}" for _ in range(length)]
+    return [(start + i, " ".join(edited(generator, base, generator.randint(0, most)))) for i in range(n)]
+
+
+def test_components_are_those_of_all_pairs(spark):
+    generator = random.Random(3)
+    rows = [r for k in range(60) for r in group(generator, 1000 + 10 * k, 3, generator.choice([6, 20, 100, 400]), 3)]
+    rows += group(generator, 5000, 150, 140, 4)  # similarities around 0.7, with many pairs on either side of 0.8
+    assert small.rows(near_sets.near_duplicates(small.docs(spark, rows + small.AWKWARD))) == brute_components(rows + small.AWKWARD)
+    assert near_sets.near_duplicates(small.docs(spark, [])).count() == 0
+
+
+def test_pipeline_stage_removes_copies_far_apart_in_simhash_bits(spark):
+    generator = random.Random(4)
+    base = [f"w{generator.getrandbits(30)}" for _ in range(120)]
+    while True:
+        copy = edited(generator, base, 2)
+        texts = [" ".join(base), " ".join(copy)]
+        bits = [simhash.fingerprint(t.encode()) for t in texts]
+        if (bits[0] ^ bits[1]).bit_count() > 3 and len(brute_set(texts[0]) & brute_set(texts[1])) * 5 >= 4 * len(brute_set(texts[0]) | brute_set(texts[1])):
+            break
+    docs = small.docs(spark, [(1, texts[0]), (2, texts[1]), (3, "quite another text of more than five words")])
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
