@@ -18,14 +18,14 @@ CELLS = 3 * TABLE
 ROUNDS = 16
 #: Digests of both texts for each bin when the smallest sketch was too small.
 BIN_LOAD = 10
-#: A line is cut at the first end of a sentence after so many characters.
-LEAST_CHARS = 300
+#: A line is cut at the first end of a sentence after so many characters: at every one.
+LEAST_CHARS = 1
 #: Consecutive ids whose rows meet in one group.
 GROUP_IDS = 1024
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines, long ones cut behind ends of sentences; blank lines count nothing."""
+    """Lines, cut behind every end of a sentence; blank lines count nothing."""
     return F.regexp_extract_all(text, F.lit(rf"[^\n]{{{LEAST_CHARS},}}?[.!?](?=\s)|[^\n]+"), F.lit(0))
 
 

@@ -61,3 +61,9 @@ def test_peeling_recovers_the_difference(spark):
 def test_no_python_on_the_way(spark):
     text = sketch.fingerprints(small.docs(spark)).select("near_next")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", text)
+
+
+def test_kept_half_of_a_short_text_counts(spark):
+    rows = [(1, "The river rose. It fell again. Nobody saw it. They slept on. The end came."), (2, "Quite another text.")]
+    near = {r["doc_id"]: r["near_edited"] for r in sketch.fingerprints(small.docs(spark, rows)).collect()}
+    assert near[1] > 0
