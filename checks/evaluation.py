@@ -667,12 +667,7 @@ def boosted_trees_model(spark, folder):
 
 @query()
 def candidate_grid(spark, folder):
-    """Two models, two calibrations, without cross-validation."""
+    """All models with all features and calibrations, with cross-validation, at default settings."""
     df = materialise(split(spark, folder).drop("p_raw"))
-    options = TrainingOptions(
-        models=["logistic", "logistic_balanced"], cross_validation=False,
-        model_settings={"logistic": {"maxIter": 20}, "logistic_balanced": {"maxIter": 20}},
-    )
-    fields = ["dti", "fico_range_low", "int_rate", "grade", "purpose"]
-    _, candidates = select_candidate(*[in_splits(df, s) for s in ("train", "calibration", "validation")], fields, options)
+    _, candidates = select_candidate(*[in_splits(df, s) for s in ("train", "calibration", "validation")], FEATURES, TrainingOptions())
     return comparison_rows(df, candidates)

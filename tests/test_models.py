@@ -201,3 +201,18 @@ def test_id_sets(spark):
     assert tuple(score_alignment(left, scores.union(scores.filter("id = 1"))).first()) == (1, 1, 0)
     with pytest.raises(ValueError, match="1 ids have more than one score"):
         attach_scores(left, scores.union(scores.filter("id = 1")))
+
+
+def test_candidate_grid_runs_the_whole_job(spark, monkeypatch):
+    from checks import evaluation
+
+    seen = []
+
+    def noted(train, calibration, validation, features, options=None):
+        seen.append((list(features), options))
+        return None, []
+
+    monkeypatch.setattr(evaluation, "select_candidate", noted)
+    evaluation.candidate_grid(spark, "/root/testdata/sf0.001")
+    (features, options), = seen
+    assert features == list(evaluation.FEATURES) and options == evaluation.TrainingOptions() and options.cross_validation
