@@ -22,8 +22,8 @@ _HELD = 400_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
     """(text, label) of a bounded sample of ``labels`` (doc_id, label 0/1) joined to ``docs``.
 
-    Rows without id or label say nothing; an id with several labels counts with the smallest. The ids of the
-    sample are at most twice ``rows_per_class``, which is what is broadcast.
+    Rows without id or label say nothing; an id with several labels counts with the smallest, and one with several
+    rows with its smallest text. The rows of the sample are at most twice ``rows_per_class``; their ids are broadcast.
     """
     one = labels.na.drop(subset=["doc_id", "label"]).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = None
@@ -31,7 +31,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = RO
         part = one.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = chosen.select(F.col("doc_id").alias("__id"), "label")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("__id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
 
 
 @dataclass

@@ -117,3 +117,9 @@ def test_languages_of_pages(spark):
 
 def test_visible_text():
     assert language.visible("<p>a&amp;b</p><style>x{}</style><script>var t='</p>';</script><!-- c -->d").split() == ["a&b", "d"]
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    docs = small.docs(spark, [(1, "b")] * 50 + [(1, "a"), (1, None), (2, "c"), (3, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    assert small.rows(ngrams.labelled_sample(docs, labels)) == sorted([("a", 1), ("c", 0), (None, 0)], key=small.key)
