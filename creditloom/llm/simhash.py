@@ -9,7 +9,7 @@ partition, and thresholds are chosen by dynamic programming on the number of can
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -49,17 +49,17 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(ones * 2 > count, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint bigint) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, size: int = 3, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fingerprint bigint, the columns ``also``) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             values = pa.array((fingerprint(t.as_py(), size) for t in texts), type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), values, *batch.columns[2:]], names=["doc_id", "fingerprint", *also])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fingerprint", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fingerprint", T.LongType()), *[docs.schema[c] for c in also]])
+    return docs.select("doc_id", "text", *also).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -228,31 +228,38 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     """
     fps = materialise(fingerprints(docs, size))
     nodes = materialise(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    links = hamming_links(nodes.select("fingerprint"), radius, layout(nodes, radius))
-    roots = materialise(components(links))
-    grouped = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "fingerprint"))
+    grouped = _with_roots(nodes, radius)
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = materialise(grouped.join(least, "root").select("fingerprint", "component_id"))
     return fps.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def first_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """``kept`` of the components of ``near_duplicates``."""
-    return kept(docs, near_duplicates(docs, size, radius))
+def _with_roots(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (fingerprint, ...; each once) with the ``root`` of their component."""
+    links = hamming_links(nodes.select("fingerprint"), radius, layout(nodes, radius))
+    roots = materialise(components(links))
+    found = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return found.withColumn("root", F.coalesce("root", "fingerprint"))
 
 
-def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component in ``found``; repeated rows of that id stay once.
+def first_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns: that with the smallest doc_id.
 
-    All columns stay. Rows without a doc_id stay only in components that have no doc_id at all.
+    Rows without doc_id come last; rows of one doc_id are ordered by a digest of their text, so rows of unlike texts
+    that share an id are told apart, and of equal rows one stays. Components are kept by row, never by id alone.
     """
-    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = materialise(ids.groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("__id"), "rows"))
-    same_id = docs["doc_id"].eqNullSafe(ids["__id"])
-    # Both sides are shuffled at every size: the kept ids grow with the documents, so they are never broadcast.
-    rows = docs.join(ids.filter("rows = 1").hint("merge"), same_id, "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    repeated = docs.join(ids.filter("rows > 1"), same_id, "left_semi")
-    chosen = repeated.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__row"))
-    return rows.unionByName(chosen.select("doc_id", *[F.col("__row")[c].alias(c) for c in others]))
+    key = "__text_key"
+    keyed = docs.select("doc_id", "text", F.coalesce(F.md5("text"), F.lit("")).alias(key))
+    fps = materialise(fingerprints(keyed, size, [key]))
+    rows = fps.groupBy("fingerprint", "doc_id", key).agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key, "n"))
+    nodes = materialise(rows.groupBy("fingerprint").agg(first.alias("first")))
+    chosen = _with_roots(nodes, radius).groupBy("root").agg(F.min("first").alias("first"))
+    chosen = materialise(chosen.select(F.col("first.doc_id").alias("__id"), F.col(f"first.{key}").alias("__key"), F.col("first.n").alias("__n")))
+    same = docs["doc_id"].eqNullSafe(chosen["__id"]) & (F.coalesce(F.md5(docs["text"]), F.lit("")) == chosen["__key"])
+    # Both sides are shuffled at every size: the chosen rows grow with the documents, so they are never broadcast.
+    once = docs.join(chosen.filter("__n = 1").hint("merge"), same, "left_semi")
+    repeated = docs.join(chosen.filter("__n > 1").hint("merge"), same, "left_semi")
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__first_row")
+    least = repeated.groupBy("doc_id", F.md5("text")).agg(row)
+    return once.unionByName(least.select(*[F.col("__first_row")[c].alias(c) for c in docs.columns]))

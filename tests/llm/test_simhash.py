@@ -92,5 +92,21 @@ def test_one_document_of_each_group_stays(spark):
     kept = simhash.first_of_each(small.docs(spark))
     assert kept.columns == small.docs(spark, []).columns
     ids = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    classes = {r["component_id"] for r in simhash.near_duplicates(small.docs(spark)).filter("component_id is not null").collect()}
+    assert {i for i, _ in ids if i is not None} == classes  # doc_id 8 names two texts: both stay
+    assert sorted(t for i, t in ids if i == 8) == ["knot", "tie"]
     assert (5, "a b") in ids and ids.count((5, "a b")) == 1 and (9, "A B") not in ids
-    assert (1, None) in ids and not {2, 3} & {i for i, _ in ids} and (None, "x y z w") in ids and (None, None) not in ids
+    assert (1, None) in ids and (2, "") not in ids and (None, "x y z w") in ids and (None, None) not in ids
+    assert simhash.first_of_each(small.docs(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    near = "one two three four five six seven"
+    rows = [(8, "alpha beta gamma delta"), (8, "quite another text here"), (1, near), (None, near.upper()), (None, "no copy of anything"), (None, None), (None, ""),
+            (None, None), (3, "repeated row"), (3, "repeated row"), (3, "Repeated row")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.first_of_each(small.docs(spark, rows)).collect()]
+    with_id = sorted(r for r in kept if r[0] is not None)
+    assert with_id[0] == (1, near) and [r for r in with_id if r[0] == 8] == [(8, "alpha beta gamma delta"), (8, "quite another text here")]
+    assert len([r for r in with_id if r[0] == 3]) == 1
+    without = [t for i, t in kept if i is None]
+    assert "no copy of anything" in without and len([t for t in without if not t]) == 1 and near.upper() not in without
