@@ -1,8 +1,8 @@
 """Cleaning of a document corpus in stages, each written as Parquet and read again by the next.
 
 1. toxicity: documents that the ordinal model rejects go;
-2. near-dedup: one document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) stays,
-   that with the smallest doc_id; SimHash bits within a payable radius miss most such pairs, so MinHash bands propose them;
+2. SimHash near-dedup: of each group of documents whose fingerprints (three-word shingles) are linked at up to three
+   differing bits, the one with the smallest doc_id stays;
 3. benchmark decontamination: documents that hold a benchmark item, up to a tenth of edits, go;
 4. secret scans: secrets in the texts are masked, all documents stay;
 5. BPE encoding: (doc_id, n_tokens, ids, decoded) of every document that is left.
@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from creditloom.llm import bpe, decontaminate, near_sets, secret_scan, simhash, toxicity
+from creditloom.llm import bpe, decontaminate, secret_scan, simhash, toxicity
 from creditloom.llm.queries import tokenizer_path
 from creditloom.scratch import scratch_root
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.kept(docs, near_sets.near_duplicates(docs, size=5, similarity=0.8))
+    return simhash.first_of_each(docs, size=3, radius=3)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
