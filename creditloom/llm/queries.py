@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, language, quality, secret_scan, sharding, simhash, sketch, toxicity
+from . import bpe, chat, decontaminate, language, quality, runs, secret_scan, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -142,6 +142,64 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op7_language_id, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints)}
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by a hash of its doc_id, goes on from a word on with a short period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    planted = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = g % n
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    with_rule = planted.withColumn("rule", F.when(n > 0, F.struct(a.cast("int").alias("a"), period.cast("int").alias("p"))))
+    source = F.transform("words", lambda w, i: F.get(F.col("words"), F.when(i >= F.col("rule.a"), F.col("rule.a") + (i - F.col("rule.a")) % F.col("rule.p")).otherwise(i)))
+    return with_rule.select("doc_id", F.when(F.col("rule").isNotNull(), F.array_join(source, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(_with_planted_runs(_read(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("*", longest.alias("best"), listed.alias("listed"))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
 
-SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL}
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text of ASCII characters, bit by bit."""
+    return f"""xor(4294967295, list_reduce([cast(ascii({text}[i]) as bigint) for i in range(1, length({text}) + 1)],
+      lambda c, b: list_reduce(range(0, 8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295))"""
+
+
+_RUNS_SQL = rf"""with texts as (
+  select row_number() over () as row_id, doc_id, string_split_regex(trim(coalesce(text, ''), e' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') as ws
+  from documents
+), plain as (
+  select row_id, doc_id, case when ws = [''] then [] else ws end as ws, {_crc32_sql("cast(doc_id as varchar)")} as h from texts
+), rules as (select *, len(ws) as n, h // 10 as g from plain),
+edited as (
+  select row_id, doc_id, n, case when h % 10 = 0 and n > 0
+    then [ws[1 + case when i >= g % n then g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) else i end] for i in range(0, n)] else ws end as ws
+  from rules
+), places as (select row_id, n, unnest(ws) as w, unnest(range(0, n)) as i from edited),
+equal_words as (
+  select a.row_id, a.i, b.i - a.i as q from places a join places b on a.row_id = b.row_id and a.w = b.w and b.i > a.i and b.i - a.i <= a.n // 4
+), stretches as (
+  select row_id, q, min(i) as s, count(*) + q as l
+  from (select row_id, q, i, i - row_number() over (partition by row_id, q order by i) as island from equal_words) group by row_id, q, island
+), runs as (select row_id, s, l, min(q) as q from stretches where l >= greatest(6, 4 * q) group by row_id, s, l),
+per as (
+  select row_id, count(*) as n_runs, max({{'l': l, 's': -s, 'q': -q}}) as best, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as listed
+  from runs group by row_id
+), dropped as (select distinct row_id, unnest(range(s + q, s + l)) as i from runs),
+left_over as (select row_id, string_agg(w, ' ' order by i) as short from places anti join dropped using (row_id, i) group by row_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, -best.s as start, best.l as length, -best.q as period,
+  1000 * best.l // -best.q as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(short, '')) as collapsed_sha256
+from edited left join per using (row_id) left join left_over using (row_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op7_language_id, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints, op12_periodic_runs)}
+
+SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL, "op12_periodic_runs": _RUNS_SQL}
