@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, language, quality, runs, secret_scan, sharding, simhash, sketch, toxicity
+from . import bpe, chat, decontaminate, language, quality, runs, secret_scan, sharding, signatures, simhash, sketch, toxicity, trie
+from ..scratch import materialise
+from .hot import join_counted
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -142,6 +144,24 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, folder, "documents"))
 
 
+def _rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, numbered from 0, and the conversations: their first turns come from that whose id is a multiple of 5."""
+    own = materialise(trie.numbered_turns(conversations))
+    heads = own.filter("conv_id % 5 = 0 and place < 8").groupBy(F.col("conv_id").alias("base")).agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("head"))
+    members = own.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("h", F.crc32(F.col("conv_id").cast("string")) % 9)
+    taken = F.slice(F.coalesce("head", F.expr("cast(array() as array<struct<place:bigint,role:string,text:string>>)")), F.lit(1), F.col("h").cast("int"))
+    members = members.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(heads.hint("merge"), "base", "left")
+    members = materialise(members.select("conv_id", "n", "h", taken.alias("taken")))
+    first = members.select("conv_id", F.explode("taken").alias("t")).select("conv_id", "t.*")
+    rest = join_counted(own, members.select("conv_id", "n", "h", F.size("taken").alias("n_taken")), ["conv_id"]).filter("place >= h")
+    rest = rest.select("conv_id", (F.col("place") - F.col("h") + F.col("n_taken")).alias("place"), "role", "text")
+    return first.unionByName(rest), members.select("conv_id")
+
+
+def op11_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_nodes(*_rebuilt(_read(spark, folder, "conversations")))
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every tenth text, by a hash of its doc_id, goes on from a word on with a short period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -173,6 +193,33 @@ def _crc32_sql(text: str) -> str:
       lambda c, b: list_reduce(range(0, 8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295))"""
 
 
+_TRIE_SQL = f"""with turns as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+), convs as (
+  select conv_id, count(*) as n, conv_id - conv_id % 5 as base, {_crc32_sql("cast(conv_id as varchar)")} % 9 as h from turns group by conv_id
+), rebuilt as (
+  select c.conv_id, t.place, t.role, t.text from convs c join turns t on t.conv_id = c.base and t.place < c.h
+  union all
+  select c.conv_id, t.place - c.h + least(c.h, coalesce(b.n, 0)), t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.place >= c.h left join convs b on b.conv_id = c.base
+), paths as (
+  select conv_id, place + 1 as depth, strlen(text) as bytes, string_agg(md5(length(role) || ':' || role || text), '') over (partition by conv_id order by place) as path from rebuilt
+  union all select conv_id, 0, 0, '' from convs
+), nodes as (select path, any_value(depth) as depth, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs from paths group by path),
+children as (select left(path, length(path) - 32) as path, count(*) as n_children from nodes where depth > 0 group by 1),
+sums as (
+  select left(path, cast(32 * above as bigint)) as path, sum((n_convs - 1) * bytes) as saved_tokens, sum(leaf) as n_leaves
+  from (select n.path, n_convs, bytes, unnest(range(0, depth + 1)) as above, cast(c.path is null as int) as leaf from nodes n left join children c using (path)) group by 1
+), ends as (
+  select path, sha256(string_agg(conv_id, ',' order by conv_id)) as ends_sha256
+  from (select conv_id, max_by(path, depth) as path from paths group by conv_id) group by path
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from nodes n left join nodes p on n.depth > 0 and p.path = left(n.path, length(n.path) - 32)
+  left join children c on c.path = n.path left join sums s on s.path = n.path left join ends e on e.path = n.path"""
+
+
 _RUNS_SQL = rf"""with texts as (
   select row_number() over () as row_id, doc_id, string_split_regex(trim(coalesce(text, ''), e' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') as ws
   from documents
@@ -200,6 +247,35 @@ select doc_id, coalesce(n_runs, 0) as n_runs, -best.s as start, best.l as length
 from edited left join per using (row_id) left join left_over using (row_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op7_language_id, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints, op12_periodic_runs)}
+def op13_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = signatures.near_duplicates(_read(spark, folder, "documents"), size=3, similarity=0.85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+_NEAR_SQL = r"""with recursive words as (
+  select row_number() over () as row_id, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws
+  from documents
+), sets as (
+  select row_id, doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_sort(list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)])) end as shingles
+  from words
+), nodes as (select min(row_id) as node, shingles, len(shingles) as n from sets where len(shingles) > 0 group by shingles),
+posts as (select node, n, unnest(shingles) as shingle from nodes),
+common as (
+  select a.node as a, b.node as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from posts a join posts b on a.shingle = b.shingle and a.node < b.node
+    and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85 group by 1, 2
+), near as materialized (select a, b from common where 100 * c >= 85 * (na + nb - c)),
+links as materialized (select a, b from near union all select b, a from near),
+reach as (select node, node as other from nodes union select reach.node, links.b from reach join links on reach.other = links.a), first_ids as (select n.node, min(s.doc_id) as first_id from nodes n join sets s on s.shingles = n.shingles group by n.node),
+classes as (select reach.node, min(first_id) as component_id from reach join first_ids on first_ids.node = reach.other group by reach.node),
+found as (
+  select s.doc_id, len(s.shingles) as n_shingles, case when len(s.shingles) = 0 then s.doc_id else c.component_id end as component_id
+  from sets s left join nodes n on s.shingles = n.shingles left join classes c on c.node = n.node
+)
+select *, doc_id is not distinct from component_id as kept from found"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_secret_scans, op5_balanced_sharding, op6_toxicity, op7_language_id, op8_quality_classifier, op9_bpe_encoding, op10_document_fingerprints, op11_conversation_prefix_trie, op12_periodic_runs, op13_minhash_near_dedup)}
 
-SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL, "op12_periodic_runs": _RUNS_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": _CHATS_SQL, "op4_secret_scans": _SECRETS_SQL, "op11_conversation_prefix_trie": _TRIE_SQL, "op12_periodic_runs": _RUNS_SQL, "op13_minhash_near_dedup": _NEAR_SQL}
