@@ -3,12 +3,12 @@
 A sketch has three tables of cells. A digest goes into one cell of each: its count, its digest and its check are
 added there (counts by sum, the others by XOR). Subtracting two sketches leaves the digests in which two texts
 differ. A cell with one digest left gives it away; taken out of its other cells it frees further ones. If cells
-remain, the sketch was too small: digests are dealt into four times as many bins, a sketch each, and tried again.
+remain, the sketch was too small: digests are dealt into bins, a sketch each, and those of bins that fail into more bins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import materialise
 
@@ -17,7 +17,7 @@ TABLE = 12
 CELLS = 3 * TABLE
 ROUNDS = 16
 #: Digests of both texts for each bin when the smallest sketch was too small.
-BIN_LOAD = 10
+BIN_LOAD = 18
 #: A line is cut at the first end of a sentence after so many characters: at every one.
 LEAST_CHARS = 1
 #: Consecutive ids whose rows meet in one group.
@@ -47,14 +47,19 @@ def placed(values: Column, level: int) -> Column:
     return F.transform(values, one)
 
 
-def _cells(digest: Column, level: int) -> Column:
+def _places(digest: Column, level: int) -> list[Column]:
+    """Numbers of the three cells of a digest, one in each table."""
     h = F.xxhash64(digest, F.lit(level))
-    bits = [F.call_function("shiftleft", F.lit(1 << TABLE * j).cast("bigint"), F.pmod(F.shiftright(h, 16 * j), F.lit(TABLE)).cast("int")) for j in range(3)]
+    return [(F.pmod(F.shiftright(h, 16 * j), F.lit(TABLE)) + TABLE * j).cast("int") for j in range(3)]
+
+
+def _cells(digest: Column, level: int) -> Column:
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), place) for place in _places(digest, level)]
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
-def _cell(n: Column, x: Column, c: Column) -> Column:
-    return F.struct(n.alias("n"), x.alias("x"), c.alias("c"))
+def _cell(i: Column, n: Column, x: Column, c: Column) -> Column:
+    return F.struct(i.alias("i"), n.alias("n"), x.alias("x"), c.alias("c"))
 
 
 def _here(item: Column, i: Column) -> Column:
@@ -62,24 +67,29 @@ def _here(item: Column, i: Column) -> Column:
 
 
 def sketch(items: Column) -> Column:
-    """Cells of ``placed`` digests: count, XOR of digests, XOR of checks."""
-    zero = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    """Cells of ``placed`` digests: number of the cell, count, XOR of digests, XOR of checks."""
 
     def add(cell: Column, item: Column) -> Column:
-        return _cell(cell["n"] + 1, cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["c"]))
+        return _cell(cell["i"], cell["n"] + 1, cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["c"]))
+
+    def empty(i: Column) -> Column:
+        return _cell(i, F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
     numbers = F.sequence(F.lit(0), F.lit(CELLS - 1))
-    return F.transform(numbers, lambda i: F.aggregate(F.filter(items, lambda t: _here(t, i)), zero, add))
+    return F.transform(numbers, lambda i: F.aggregate(F.filter(items, lambda t: _here(t, i)), empty(i), add))
 
 
 def subtract(left: Column, right: Column) -> Column:
     return F.zip_with(
-        left, right, lambda a, b: _cell(a["n"] - b["n"], a["x"].bitwiseXOR(b["x"]), a["c"].bitwiseXOR(b["c"]))
+        left, right, lambda a, b: _cell(a["i"], a["n"] - b["n"], a["x"].bitwiseXOR(b["x"]), a["c"].bitwiseXOR(b["c"]))
     )
 
 
 def peel(cells: Column, level: int) -> Column:
-    """(found, rest): digests with count 1 (left only) or -1 (right only), and the number of cells that are not empty."""
+    """(found, rest): digests with count 1 (left only) or -1 (right only), and the number of cells that are not empty.
+
+    ``cells`` are those of a difference, in any order; empty ones may be absent.
+    """
 
     def pure(state: Column) -> Column:
         single = F.filter(state["cells"], lambda v: (F.abs(v["n"]) == 1) & (v["c"] == _check(v["x"])))
@@ -91,14 +101,15 @@ def peel(cells: Column, level: int) -> Column:
 
     def after(state: Column, taken: Column) -> Column:
         def remove(cell: Column, item: Column) -> Column:
-            return _cell(cell["n"] - item["n"], cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["c"]))
+            return _cell(cell["i"], cell["n"] - item["n"], cell["x"].bitwiseXOR(item["x"]), cell["c"].bitwiseXOR(item["c"]))
 
-        def changed(cell: Column, i: Column, bits: Column) -> Column:
-            return F.when(F.getbit(bits, i) == 0, cell).otherwise(F.aggregate(F.filter(taken, lambda t: _here(t, i)), cell, remove))
+        def changed(cell: Column, bits: Column) -> Column:
+            return F.when(F.getbit(bits, cell["i"]) == 0, cell).otherwise(F.aggregate(F.filter(taken, lambda t: _here(t, cell["i"])), cell, remove))
 
         def go_on() -> Column:
             touched = F.aggregate(taken, F.lit(0).cast("bigint"), lambda all_cells, t: all_cells.bitwiseOR(t["cells"]))
-            left = F.get(F.transform(F.array(touched), lambda bits: F.transform(state["cells"], lambda v, i: changed(v, i, bits))), F.lit(0))
+            changes = F.get(F.transform(F.array(touched), lambda bits: F.transform(state["cells"], lambda v: changed(v, bits))), F.lit(0))
+            left = F.filter(changes, _not_empty)
             plain = F.transform(taken, lambda t: F.struct(t["n"].alias("n"), t["x"].alias("x")))
             return F.struct(left.alias("cells"), F.concat(state["found"], plain).alias("found"), F.lit(False).alias("over"))
 
@@ -106,16 +117,19 @@ def peel(cells: Column, level: int) -> Column:
         return F.when(F.size(taken) == 0, ended).otherwise(go_on())
 
     start = F.struct(
-        cells.alias("cells"), F.expr("cast(array() as array<struct<n:int,x:bigint>>)").alias("found"), F.lit(False).alias("over")
+        F.filter(cells, _not_empty).alias("cells"), F.expr("cast(array() as array<struct<n:int,x:bigint>>)").alias("found"), F.lit(False).alias("over")
     )
 
     def result(state: Column) -> Column:
-        rest = F.filter(state["cells"], lambda v: (v["n"] != 0) | (v["x"] != 0) | (v["c"] != 0))
-        return F.struct(state["found"].alias("found"), F.size(rest).alias("rest"))
+        return F.struct(state["found"].alias("found"), F.size(state["cells"]).alias("rest"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, result)
 
 
+def _not_empty(cell: Column) -> Column:
+    return (cell["n"] != 0) | (cell["x"] != 0) | (cell["c"] != 0)
+
+
 def written(cells: Column) -> Column:
     """A sketch as text: count, digest and check of each cell in hexadecimal digits."""
     return F.lower(
@@ -186,7 +200,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     recovered digests of either side. Null texts count as empty; two texts without paragraphs are alike (1).
     Repeated rows come back as often as they came; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     own_set = digests(F.col("row.text"))
     rows = with_next(docs.select("doc_id", text.alias("text")), ["text"], {"set": own_set, "cells": sketch(placed(F.col("set"), 0))})
@@ -217,8 +230,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     open_pairs = first.filter("e is not null or x is not null").select(
         "row", F.explode(F.array(*[F.struct(F.lit(s).alias("pair"), F.col("a").alias("left"), F.col(s).alias("right")) for s in "ex"])).alias("p")
     )
-    open_pairs = open_pairs.select("row", "p.*").filter("right is not null")
-    late = _retried(spark, open_pairs)
+    late = _retried(open_pairs.select("row", "p.*").filter("right is not null"))
     wide = late.groupBy("row").agg(
         *[F.max(F.when(F.col("pair") == s, F.col(k))).alias(f"late_{k}_{s}") for s in "ex" for k in ("left", "right")]
     )
@@ -237,31 +249,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def _retried(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """(row, pair, left, right): recovered digests of either side of (row, pair, left set, right set), by larger and larger sketches."""
-    done, level = None, 0
+def _retried(pairs: DataFrame) -> DataFrame:
+    """(row, pair, left, right): recovered digests of either side of (row, pair, left set, right set), by larger and larger sketches.
+
+    Digests are dealt into bins and added up by cell, those of the right set with the opposite sign, so each bin gives the cells of
+    its difference at once. Only sets are shuffled, by row; all grouping of digests, cells and bins happens where they lie. Digests of
+    bins that could not be peeled are dealt anew, into relatively more bins each time.
+    """
+    tries, level = [], 0
     while True:
         level += 1
+        # Twice as many bins for as many digests at each further level.
         bins = F.ceil((F.size("left") + F.size("right")) * (1 << level - 1) / BIN_LOAD)
-        sides = F.concat(
-            F.transform("left", lambda d: F.struct(d.alias("x"), F.lit(True).alias("mine"))),
-            F.transform("right", lambda d: F.struct(d.alias("x"), F.lit(False).alias("mine"))),
-        )
-        each = pairs.select("row", "pair", bins.alias("bins"), F.explode(sides).alias("d")).select("row", "pair", "bins", "d.*")
-        each = each.withColumn("bin", F.pmod(F.xxhash64("x", F.lit("bin"), F.lit(level)), F.col("bins")))
-        in_bins = each.groupBy("row", "pair", "bin").agg(
-            F.collect_list(F.when(F.col("mine"), F.col("x"))).alias("left"), F.collect_list(F.when(~F.col("mine"), F.col("x"))).alias("right")
+        sides = F.concat(*[F.transform(side, lambda d: F.struct(d.alias("x"), F.lit(sign).alias("sign"))) for side, sign in (("left", 1), ("right", -1))])
+        each = pairs.repartition("row").select("row", "pair", bins.alias("bins"), F.explode(sides).alias("d")).select("row", "pair", "bins", "d.*")
+        each = each.select(
+            "row", "pair", "bins", _bin("x", level, "bins").alias("bin"), "x", "sign", _check(F.col("x")).alias("c"), F.explode(F.array(*_places(F.col("x"), level))).alias("i")
         )
-        sketches = in_bins.select("row", "pair", *[sketch(placed(F.col(s), level)).alias(s) for s in ("left", "right")])
-        peeled = sketches.select("row", "pair", peel(subtract(F.col("left"), F.col("right")), level).alias("p"))
-        counts = peeled.groupBy("row", "pair").agg(
-            F.sum(F.size(F.filter("p.found", lambda v: v["n"] == 1))).alias("left"),
-            F.sum(F.size(F.filter("p.found", lambda v: v["n"] == -1))).alias("right"), F.max("p.rest").alias("rest"),
+        cells = each.groupBy("row", "pair", "bins", "bin", "i").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+        sketches = cells.groupBy("row", "pair", "bins", "bin").agg(F.collect_list(_cell(*[F.col(c) for c in "inxc"])).alias("cells"))
+        peeled = sketches.select("row", "pair", "bins", "bin", peel(F.col("cells"), level).alias("p"))
+        good = F.col("p.rest") == 0
+        tried = materialise(
+            peeled.groupBy("row", "pair", "bins").agg(
+                *[F.coalesce(F.sum(F.when(good, F.size(F.filter("p.found", lambda v: v["n"] == sign)))), F.lit(0)).alias(side) for side, sign in (("left", 1), ("right", -1))],
+                F.collect_list(F.when(~good, F.col("bin"))).alias("failed"),
+            )
         )
-        tried = materialise(counts)
-        good = tried.filter("rest = 0").select("row", "pair", "left", "right")
-        done = good if done is None else done.unionByName(good)
-        failed = tried.filter("rest > 0")
+        tries.append(tried.select("row", "pair", "left", "right"))
+        failed = tried.filter(F.size("failed") > 0).select("row", "pair", "bins", "failed")
         if failed.isEmpty():
-            return done
-        pairs = pairs.join(failed.select("row", "pair").hint("merge"), ["row", "pair"], "left_semi")
+            break
+        again = pairs.join(failed.hint("merge"), ["row", "pair"])
+        rest = {side: F.filter(side, lambda d: F.array_contains("failed", _bin(d, level, "bins"))) for side in ("left", "right")}
+        pairs = materialise(again.select("row", "pair", *[v.alias(k) for k, v in rest.items()]))
+    counts = tries[0]
+    for more in tries[1:]:
+        counts = counts.unionByName(more)
+    return counts.groupBy("row", "pair").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+
+
+def _bin(digest: Column | str, level: int, bins: str) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit("bin"), F.lit(level)), F.col(bins))
