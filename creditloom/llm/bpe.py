@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +26,11 @@ from pyspark.sql import types as T
 
 from .batches import pieces
 
-#: Words, and states of the byte table, that a task remembers; beyond that it starts anew.
-REMEMBERED = 100_000
+#: States of the byte table that a worker numbers. Further ones are worked out each time, and when those have been
+#: PATIENCE times as many, the table starts anew.
+REMEMBERED, PATIENCE = 100_000, 20
+#: Bytes of words and ids, with what holds them, in each of the two generations of a worker's memory.
+GENERATION_BYTES = 40 << 20
 _NEVER = 1 << 60
 
 
@@ -99,20 +103,28 @@ class Automaton:
         self.numbers: dict[tuple, int] = {((-1, 0),): 0}
         self.open: list[tuple] = [((-1, 0),)]
         self.ending: list[int] = [-1]
+        self.unnumbered = 0
 
-    def _move(self, state: int, key: int, symbol: int) -> int:
-        """Next state, and a table entry for it: arcs that ``symbol`` continues, and the one that it completes."""
-        done, ahead = -1, []
-        for last, node in self.open[state]:
-            node = self.step.get(node << 20 | symbol, -1)
+    def _reached(self, arcs: tuple, symbol: int) -> tuple[list[tuple[int, int]], int]:
+        """Arcs that ``symbol`` continues, with those that can begin behind it, and the one that it completes (-1: none)."""
+        done, ahead, step, tokens = -1, [], self.step, self.token
+        for last, node in arcs:
+            node = step.get(node << 20 | symbol, -1)
             if node < 0:
                 continue
             ahead.append((last, node))
-            token = self.token[node]
+            token = tokens[node]
             if done < 0 <= token and (last < 0 or self._follows(last, token)):
                 done = token
         if done >= 0:
             ahead.append((done, 0))
+        return ahead, done
+
+    def _move(self, state: int, key: int, symbol: int) -> int:
+        """Next state, and a table entry for it; -1 if the table is full."""
+        if len(self.open) >= REMEMBERED:
+            return -1
+        ahead, done = self._reached(self.open[state], symbol)
         reached = (*ahead, done)
         number = self.numbers.get(reached)
         if number is None:
@@ -127,22 +139,22 @@ class Automaton:
 
         Read byte by byte, every prefix ends one path only, so a state of the byte table is the set of open
         arcs: where in the tree of labels each stands, and which token stood before it. States and moves are
-        entered when a word first needs them, and forgotten when they are too many.
+        entered when a word first needs them. When the table is full, the rest of a word that leaves it is read without.
         """
-        if len(self.open) > REMEMBERED:
+        if self.unnumbered > PATIENCE * REMEMBERED:
             self.forget()
         state, moves, ending, ends = 0, self.moves, self.ending, []
-        for b in word[:-1]:
-            key = state << 9 | b
-            state = moves.get(key, -1)
-            if state < 0:
-                state = self._move(key >> 9, key, self.inner[b])
+        final = len(word) - 1
+        for at, b in enumerate(word):
+            key = state << 9 | b if at < final else state << 9 | 256 | b
+            following = moves.get(key, -1)
+            if following < 0:
+                following = self._move(state, key, self.inner[b] if at < final else self.final[b])
+                if following < 0:
+                    ends += self._unnumbered_ends(self.open[state], word, at)
+                    break
+            state = following
             ends.append(ending[state])
-        key = state << 9 | 256 | word[-1]
-        state = moves.get(key, -1)
-        if state < 0:
-            state = self._move(key >> 9, key, self.final[word[-1]])
-        ends.append(ending[state])
         path, at, length = [], len(ends), self.length
         while at:
             token = ends[at - 1]
@@ -150,12 +162,21 @@ class Automaton:
             at -= length[token]
         return path[::-1]
 
+    def _unnumbered_ends(self, arcs: tuple, word: bytes, at: int) -> list[int]:
+        """The tokens that end at each place of ``word`` from ``at`` on."""
+        ends, final = [], len(word) - 1
+        self.unnumbered += len(word) - at
+        for i in range(at, len(word)):
+            arcs, done = self._reached(arcs, self.inner[word[i]] if i < final else self.final[word[i]])
+            ends.append(done)
+        return ends
+
     def encode(self, text: str) -> list[int]:
         return [i for word in self.words.split(text, self.special) for i in ([word] if isinstance(word, int) else self.encode_word(word))]
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, with a blank between; the file names no decoder that would do more."""
-        return " ".join(self.label[i] for i in ids)
+        return " ".join(map(self.label.__getitem__, ids))
 
 
 def _byte_characters() -> list[str]:
@@ -224,16 +245,25 @@ class _Words:
 
 
 class _Known(dict):
-    """Words and what ``make`` gave for them; starts anew when it is full. Very long words are not kept."""
+    """Words and the ids that ``make`` gave for them, in two generations of bounded size; very long words are not kept.
 
-    def __init__(self, make: Callable[[str], object]) -> None:
+    When the young generation is full it becomes the old one; words that occur again move to the young one.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
         self.make = make
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def __missing__(self, word: str) -> object:
-        value = self.make(word)
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) < 64:
-            if len(self) >= REMEMBERED:
+            self.held += 200 + 2 * len(word) + len(value)
+            if self.held > GENERATION_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[word] = value
         return value
@@ -245,38 +275,32 @@ class Coder:
     def __init__(self, automaton: Automaton) -> None:
         self.automaton = automaton
         self.ids = _Known(lambda word: _packed(automaton.encode_word(automaton.words.bytes_of_word(word))))
-        self.spoken = _Known(lambda word: automaton.decode(_unpacked(self.ids[word])))
 
     def code(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, their decoded text)."""
-        ids, spoken = [], []
+        ids = []
         for part in self.automaton.words.parts(text, self.automaton.special):
             if isinstance(part, int):
                 ids.append(_packed([part]))
-                spoken.append(self.automaton.decode([part]))
             else:
                 ids += map(self.ids.__getitem__, part)
-                spoken += map(self.spoken.__getitem__, part)
-        return b"".join(ids), " ".join(spoken)
+        packed = b"".join(ids)
+        return packed, self.automaton.decode(np.frombuffer(packed, dtype="<u4").tolist())
 
 
 def _packed(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
-def _unpacked(ids: bytes) -> list[int]:
-    return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
-
-
-_loaded: dict[int, Automaton] = {}
+_loaded: dict[int, Coder] = {}
 
 
-def _automaton(source: str) -> Automaton:
-    """One per worker and file."""
+def _coder(source: str) -> Coder:
+    """One per worker and file, which later tasks of the worker go on with."""
     key = hash(source)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Automaton(source)
+        _loaded[key] = Coder(Automaton(source))
     return _loaded[key]
 
 
@@ -293,15 +317,13 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(source.value)
-        coder = Coder(automaton)  # what it remembers goes with the task
+        coder = _coder(source.value)
         for batch in pieces(batches):
             coded = [coder.code(text.as_py() or "") for text in batch.column(1)]
             ids, texts = zip(*coded)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
             )
-        automaton.forget()
 
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]

@@ -66,9 +66,18 @@ def test_rows(spark, automaton):
     assert bpe.encode(small.docs(spark, []), PATH).count() == 0
 
 
-def test_memory_of_words_is_bounded(automaton, monkeypatch):
+def test_memory_is_bounded_and_does_not_change_results(automaton, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "PATIENCE", 5)
+    monkeypatch.setattr(bpe, "GENERATION_BYTES", 5000)
+    library = tokenizers.Tokenizer.from_file(PATH)
+    automaton.forget()
     coder = bpe.Coder(automaton)
-    text = " ".join(f"word{n} {n}" for n in range(100))
-    assert coder.code(text)[1] == automaton.decode(automaton.encode(text))
-    assert len(coder.ids) <= 20 and len(coder.spoken) <= 20
+    for k in range(5):
+        text = " ".join(f"word{n} {n} repeated" for n in range(k, 100 + k))
+        ids, decoded = coder.code(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want and decoded == library.decode(want, skip_special_tokens=False)
+        assert len(coder.ids) <= 25 and len(coder.ids.old) <= 25 and len(automaton.open) <= 20
+    assert coder.code("") == (b"", "")
+    automaton.forget()
