@@ -10,7 +10,7 @@ only these short prefixes are merged, the long lists are skipped. The collisions
 counted on both signatures, and pairs that reach MATCHES are confirmed on the whole sets.
 
 Components are wanted, not pairs: a list is not paired with itself while many of its sets will be linked anyway. All
-sets of a list first meet one of them, then two, four, ...; lists whose sets are in one component are settled, pairs
+sets of a list first meet one of them, then four, sixteen, ...; lists whose sets are in one component are settled, pairs
 within a component are skipped, and as soon as the open pairs are few, all of them are looked at. So the
 components are those of all candidate pairs.
 """
@@ -33,8 +33,10 @@ from .links import components
 
 SEED = 42
 COORDINATES, MATCHES = 64, 36
-#: Open pairs for each posting, up to which all are looked at.
-PAIRS_EACH = 2
+#: Open pairs for each posting of the whole table, up to which all are looked at.
+PAIRS_EACH = 4
+#: By how much the partners of a list grow from round to round.
+GROWTH = 4
 #: Pairs of one set that meet it in one group.
 GROUP_PAIRS = 2048
 #: Hashes that meet all coordinates at once.
@@ -167,15 +169,15 @@ def _joined_roots(postings: DataFrame, signatures: DataFrame, sets: DataFrame, s
     """(node, root) of all sets in ``postings``, by the components of all confirmed pairs that share a list."""
     placed = materialise(postings.select("node").distinct().withColumn("root", F.col("node")))
     held = postings.withColumn("root", F.col("node"))
-    round_number = 0
+    budget, round_number = PAIRS_EACH * postings.count(), 0
     while True:
         lists = materialise(_open_lists(held))
-        rows, pairs = lists.agg(F.sum("n"), F.sum("pairs")).first()
-        if rows is None:
+        pairs = lists.agg(F.sum("pairs")).first()[0]
+        if pairs is None:
             return placed
         keys = ["coordinate", "value"]
         held = materialise(join_counted(held.select(*keys, "node", "n_shingles", "root"), lists.select(*keys, "n"), keys))
-        last, partners = pairs <= PAIRS_EACH * rows, 1 << round_number
+        last, partners = pairs <= budget, GROWTH**round_number
         # A place in [0, 1) for each set, new in each round; the first few of a list are the partners of all others.
         place = F.pmod(F.xxhash64("node", F.lit(round_number)), F.lit(1 << 40)) / float(1 << 40)
         left = held.select(*keys, F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("size_a"), place.alias("place_a"))

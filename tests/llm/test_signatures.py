@@ -63,6 +63,7 @@ def corpus(generator, families=12, members=8):
 def test_components_equal_all_pairs(spark, monkeypatch, forced):
     if forced:  # partners in rounds to the end, hot keys apart, small groups
         monkeypatch.setattr(signatures, "PAIRS_EACH", 0)
+        monkeypatch.setattr(signatures, "GROWTH", 2)
         monkeypatch.setattr(signatures, "GROUP_PAIRS", 3)
         monkeypatch.setattr(hot, "LEAST_HOT", 3)
     rows = corpus(random.Random(11))
