@@ -14,7 +14,7 @@ from creditloom.operators.target import construct_target, drop_unlabelled, targe
 from creditloom.plans.calibrate import Calibrator
 from creditloom.plans.evaluate import context_labels
 from creditloom.plans.score import add_decision, score
-from creditloom.schema import FEATURES, NUMERIC_FEATURES, SCORE_COLUMNS
+from creditloom.schema import FEATURES, LOG_FEATURES, NUMERIC_FEATURES, SCORE_COLUMNS
 from creditloom.scratch import scratch_root
 from creditloom.sources.bundle import ModelBundle, bundle_errors
 from creditloom.sources.dataset import write_scored
@@ -35,12 +35,17 @@ def read_loan_columns(spark, folder):
     return wanted.select(*[c.strip() for c in _RAW_TEXT.split(",")], "loan_amnt")
 
 
-@query(f"with {LOANS} select id, loan_status, issue_d, term, int_rate, revol_util, grade from loans")
+_ALREADY_NUMBERS = [c for c in NUMERIC_FEATURES if c not in ("int_rate", "revol_util")]
+_TEXTS = ["id", "loan_status", "issue_d", "term", *[c for c in FEATURES if c not in _ALREADY_NUMBERS]]
+
+
+@query(f"with {LOANS} select {', '.join(_TEXTS)}, {', '.join(f'round({c}, 6) as {c}' for c in _ALREADY_NUMBERS)} from loans")
 def csv_loans(spark, folder):
-    """Loans written as a CSV folder and read back as text."""
-    raw = loans(spark, folder).select(*[c.strip() for c in _RAW_TEXT.split(",")])
+    """Loans of all columns written as a CSV folder and read back as text; numbers are compared as numbers."""
+    raw = loans(spark, folder).select(*_TEXTS, *_ALREADY_NUMBERS)
     path = write_scored(raw, f"{_folder(spark)}/csv")
-    return read_loans(spark, path, ["int_rate", "revol_util", "grade"]).select(*raw.columns)
+    back = read_loans(spark, path, FEATURES)
+    return back.select(*_TEXTS, *[F.col(c).cast("double").alias(c) for c in _ALREADY_NUMBERS])
 
 
 def _folder(spark) -> str:
@@ -158,10 +163,12 @@ def clipped_dti(spark, folder):
 
 
 @query(
-    f"with {LOANS} select id, round(ln(1 + greatest(loan_amnt, 0)), 6) as loan_amnt, round(ln(1 + greatest(annual_inc, 0)), 6) as annual_inc from loans"
+    f"with {LOANS} select id, "
+    + ", ".join(f"case when {c} is not null then round(ln(1 + greatest({c}, 0)), 6) end as {c}" for c in LOG_FEATURES)
+    + " from loans"
 )
 def log_amounts(spark, folder):
-    return loans(spark, folder).select("id", *[log_amount(F.col(c)).alias(c) for c in ("loan_amnt", "annual_inc")])
+    return loans(spark, folder).select("id", *[log_amount(F.col(c)).alias(c) for c in LOG_FEATURES])
 
 
 _ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in NUMERIC_FEATURES)
@@ -373,11 +380,12 @@ _DOCUMENT = """concat('{{"feature_columns":', case when o_orderkey % 3 = 0 then
 @query(
     """select o_orderkey, concat_ws('; ', case when o_orderkey % 5 = 0 then concat('missing calibrator: ', cast(o_orderkey as varchar)) end,
   case when o_orderkey % 3 = 0 then concat('missing feature columns: ', cast(o_orderkey as varchar)) end,
-  case when o_orderkey % 7 = 0 then concat('missing metadata field `training_timestamp`: ', cast(o_orderkey as varchar)) end) as errors from orders"""
+  case when o_orderkey % 7 = 0 then concat('missing metadata field `training_timestamp`: ', cast(o_orderkey as varchar)) end) as errors from orders
+where o_orderkey % 13 <> 0 union all select o_orderkey, concat('missing artifact: ', cast(o_orderkey as varchar)) from orders where o_orderkey % 13 = 0"""
 )
 def bundle_readiness(spark, folder):
-    """What each bundle document of a store lacks."""
+    """What each bundle document of a store lacks; every thirteenth is absent."""
     documents = table(spark, folder, "orders").select(
-        "o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.expr(_DOCUMENT.format(text="string")).alias("document")
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 13 != 0, F.expr(_DOCUMENT.format(text="string"))).alias("document"),
     )
     return bundle_errors(documents).select("o_orderkey", F.array_join("errors", "; ").alias("errors"))

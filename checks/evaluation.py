@@ -31,13 +31,13 @@ from creditloom.plans.importance import permutation_importance
 from creditloom.plans.models import fit_model, predict_raw
 from creditloom.plans.select import FOLD_METRICS, TrainingOptions, comparison_rows, fold_means, select_candidate
 from creditloom.plans.train import field_defaults
-from creditloom.schema import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
+from creditloom.schema import CATEGORICAL_FEATURES, FEATURES, LOG_FEATURES, NUMERIC_FEATURES
 from creditloom.scratch import local_rows, materialise, scratch_root
 from creditloom.sources.dataset import prepare_dataset
 from creditloom.sources.testtables import loans, table
 
 from .catalog import query
-from .sql import PREPARED, SPLIT, bin_of, edge_list, metrics_select, score_ctes
+from .sql import PREPARED, SPLIT, bin_of, edge_list, metrics_select, newton_ctes, score_ctes
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -161,18 +161,22 @@ def fold_row_counts(spark, folder):
 
 @query(
     f"""with {_FOLDS}, s as (select block, p_raw as p, y from b where block > 0), {score_ctes('select * from s', 'block')},
-m as ({metrics_select('block')})
+m as ({metrics_select('block')}), ed as (select block, {edge_list('p', 10)} as e from s group by 1),
+bn as (select s.block, s.p, s.y, {bin_of('s.p', 'e')} as decile from s join ed on s.block = ed.block),
+gaps as (select block, round(avg(gap), 6) as gap from (select block, decile, abs(avg(p) - avg(y)) as gap from bn group by 1, 2) group by 1)
 select round(avg(roc_auc), 6) as mean_roc_auc, round(avg(pr_auc), 6) as mean_pr_auc, round(avg(brier_score), 6) as mean_brier_score,
-  round(avg(log_loss), 6) as mean_log_loss from m"""
+  round(avg(log_loss), 6) as mean_log_loss, round(avg(mean_predicted_default), 6) as mean_predicted_default,
+  round(avg(actual_default_rate), 6) as mean_actual_default_rate, round(avg(gap), 6) as mean_absolute_calibration_gap
+from m join gaps on m.block = gaps.block"""
 )
 def fold_mean_metrics(spark, folder):
     """Fold metrics of a fixed score and their means."""
     blocked, _ = fold_blocks(prepared(spark, folder))
     scores = score_table(blocked.filter("block > 0"), "p_raw", by=["block"])
     # Rounded per fold as the fold report is.
-    folds = metric_rows(scores).withColumn("mean_absolute_calibration_gap", F.lit(None).cast("double"))
-    folds = folds.select(*[F.round(m, 6).alias(m) for m in FOLD_METRICS])
-    return fold_means(folds).select("mean_roc_auc", "mean_pr_auc", "mean_brier_score", "mean_log_loss")
+    gaps = mean_calibration_gap(calibration_bins(scores, edge_digits=12), ["block"])
+    folds = metric_rows(scores).join(gaps, "block").select(*[F.round(m, 6).alias(m) for m in FOLD_METRICS])
+    return fold_means(folds)
 
 
 # --- metrics -------------------------------------------------------------------------------------
@@ -465,6 +469,13 @@ def best_candidate(spark, folder):
     return best.select("model_name", "mean_absolute_calibration_gap", "brier_score", "log_loss")
 
 
+@query(f"with {_CANDIDATES} select model_name, mean_absolute_calibration_gap, brier_score, log_loss from cand where model_name = 'HOUSEHOLD'")
+def pinned_candidate(spark, folder):
+    """The best among the candidates of one pinned model."""
+    best = select_best(_candidates(spark, folder), SEGMENTS, selected_model="HOUSEHOLD")
+    return best.select("model_name", "mean_absolute_calibration_gap", "brier_score", "log_loss")
+
+
 @query(
     f"""with {_CANDIDATES} select model_name, brier_score, log_loss, mean_absolute_calibration_gap from cand"""
 )
@@ -481,22 +492,20 @@ def candidate_comparison(spark, folder):
     + " union all ".join(f"select '{c}' as feature, round(quantile_cont({c}, 0.5::double), 6) as median from prepared" for c in NUMERIC_FEATURES)
 )
 def feature_medians(spark, folder):
-    """Exact medians of all numeric features from one pass."""
-    medians = exact_medians(prepared(spark, folder), NUMERIC_FEATURES)
+    """Exact medians of all numeric features."""
+    medians = exact_medians(materialise(prepared(spark, folder).select(*NUMERIC_FEATURES)), NUMERIC_FEATURES)
     return local_rows(spark, list(medians.items()), ["feature", "median"], ["string", "double"])
 
 
-_DEFAULT_FIELDS = ["loan_amnt", "dti", "mort_acc", "grade"]
+def _default_sql(field: str) -> str:
+    median = f"quantile_cont({field}, 0.5::double)"
+    return f"select '{field}' as field, round({f'exp({median}) - 1' if field in LOG_FEATURES else median}, 4) as value from t"
 
 
-@query(
-    f"""with {SPLIT}, t as (select * from loans_split where split = 'train')
-select 'loan_amnt' as field, round(exp(quantile_cont(loan_amnt, 0.5::double)) - 1, 4) as value from t
-union all select 'dti', round(quantile_cont(dti, 0.5::double), 4) from t union all select 'mort_acc', round(quantile_cont(mort_acc, 0.5::double), 4) from t"""
-)
+@query(f"with {SPLIT}, t as (select * from loans_split where split = 'train') " + " union all ".join(_default_sql(c) for c in NUMERIC_FEATURES))
 def training_defaults(spark, folder):
-    """Training medians in raw units, categorical fields left out."""
-    values = field_defaults(in_splits(split(spark, folder), "train"), _DEFAULT_FIELDS)
+    """Training medians in raw units of all features, categorical fields left out."""
+    values = field_defaults(materialise(in_splits(split(spark, folder), "train").select(*FEATURES)), FEATURES)
     rows = [(k, round(v, 4)) for k, v in values.items()]
     return local_rows(spark, rows, ["field", "value"], ["string", "double"])
 
@@ -514,7 +523,7 @@ _IMPUTED = NUMERIC_FEATURES
 )
 def imputation_and_scaling(spark, folder):
     """Missing counts, means and deviations after exact median imputation."""
-    df = prepared(spark, folder)
+    df = materialise(prepared(spark, folder).select(*_IMPUTED))
     return imputed_moments(df, exact_medians(df, _IMPUTED))
 
 
@@ -631,7 +640,10 @@ def isotonic_calibration(spark, folder):
     return fitted.apply(scores.table.select(F.col("p").alias("p_raw"))).select("p_raw", "p_default")
 
 
-@query()
+@query(
+    f"""with {PREPARED}, rows_fit as (select y, count(*) as w, [p_raw, 1.0::double] as x from prepared group by y, p_raw), {newton_ctes()}
+select round(p_raw, 6) as p_raw, round(1 / (1 + exp(-(b[1] * p_raw + b[2]))), 6) as p_default from (select distinct p_raw from prepared), fitted"""
+)
 def sigmoid_calibration(spark, folder):
     """Sigmoid fit at every distinct score."""
     scores = score_table(prepared(spark, folder), "p_raw")
@@ -644,13 +656,41 @@ def _fitted_metrics(spark, folder, name, **settings):
     return metric_rows(score_table(predict_raw(model, in_splits(df, "validation"), FEATURES), "p_raw"))
 
 
-@query()
+def logistic_ctes(weight: str, fit: tuple[str, ...], score: str) -> str:
+    """CTE ``s_logistic`` (p, y): encoding and Newton steps on the rows of some splits, and the scores of another split's rows."""
+    medians = ", ".join(f"quantile_cont({c}, 0.5::double) as m_{c}" for c in NUMERIC_FEATURES)
+    moments = ", ".join(
+        f"avg(coalesce({c}, m_{c})) as a_{c}, stddev_pop(coalesce({c}, m_{c})) as d_{c}, avg(case when {c} is null then 1.0::double else 0.0::double end) as g_{c}"
+        for c in NUMERIC_FEATURES
+    )
+    scaled = [f"(coalesce({c}, m_{c}) - a_{c}) / case when d_{c} = 0 then 1 else d_{c} end" for c in NUMERIC_FEATURES]
+    gaps = [f"case when g_{c} > 0 and g_{c} < 1 then (({c} is null)::int - g_{c}) / sqrt(g_{c} * (1 - g_{c})) else 0 end" for c in NUMERIC_FEATURES]
+    modes = ", ".join(f"max(case when feature = '{c}' then value end) as o_{c}" for c in CATEGORICAL_FEATURES)
+    lists = ", ".join(f"list(distinct {c}) filter ({c} is not null) as v_{c}" for c in CATEGORICAL_FEATURES)
+    hot = " || ".join(f"list_transform(v_{c}, lambda v: case when v = coalesce({c}, o_{c}) then 1.0::double else 0.0::double end)" for c in CATEGORICAL_FEATURES)
+    unpivoted = " union all ".join(f"select '{c}' as feature, {c} as value from t_fit" for c in CATEGORICAL_FEATURES)
+    return f"""t_fit as (select * from loans_split where split in ({", ".join(f"'{x}'" for x in fit)})), med as (select {medians} from t_fit), mom as (select {moments} from t_fit, med),
+values_fit as (select feature, value, count(*) as n from ({unpivoted}) where value is not null group by 1, 2),
+best_fit as (select feature, value from (select *, row_number() over (partition by feature order by n desc, value) as r from values_fit) where r = 1),
+modes_fit as (select {modes} from best_fit), lists_fit as (select {lists} from t_fit),
+enc as materialized (select split, y, [{", ".join(scaled + gaps)}]::double[] || {hot} || [1.0::double] as x
+  from loans_split, med, mom, modes_fit, lists_fit where split in ({", ".join(f"'{x}'" for x in (*fit, score))})),
+rows_fit as (select y, {weight} as w, x from enc where split <> '{score}'), {newton_ctes()},
+s_logistic as (select 1 / (1 + exp(-list_dot_product(x, b))) as p, y from enc, fitted where split = '{score}')"""
+
+
+def _logistic_sql(weight: str) -> str:
+    """Metrics of the validation rows of a model fitted on the training rows."""
+    return f"with {SPLIT}, {logistic_ctes(weight, ('train',), 'validation')}, {score_ctes('select p, y from s_logistic')} {metrics_select()}"
+
+
+@query(_logistic_sql("1.0::double"))
 def logistic_model(spark, folder):
     """Validation metrics of the logistic model."""
     return _fitted_metrics(spark, folder, "logistic")
 
 
-@query()
+@query(_logistic_sql("count(*) over () / (2.0::double * count(*) over (partition by y))"))
 def balanced_logistic_model(spark, folder):
     return _fitted_metrics(spark, folder, "logistic_balanced")
 

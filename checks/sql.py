@@ -82,10 +82,43 @@ def metrics_select(by: str = "") -> str:
   from c {group}"""
 
 
-def edge_list(column: str, bins: int, digits: int = 12) -> str:
+def edge_list(column: str, bins: int, digits: int | None = 12) -> str:
     probabilities = ", ".join(repr(i * (1.0 / bins)) + "::double" for i in range(bins)) + ", 1.0::double"
-    return f"list_sort(list_distinct(list_transform(quantile_cont({column}, [{probabilities}]), lambda e: round(e, {digits}))))"
+    edge = "e" if digits is None else f"round(e, {digits})"
+    return f"list_sort(list_distinct(list_transform(quantile_cont({column}, [{probabilities}]), lambda e: {edge})))"
 
 
 def bin_of(value: str, edges: str) -> str:
     return f"greatest(1, len(list_filter({edges}[1:len({edges}) - 1], lambda e: e < {value})))"
+
+
+def newton_ctes(steps: int = 9) -> str:
+    """CTE ``fitted(b)``: coefficients of the penalised logistic fit of ``rows_fit`` (y, w, x; x ends with 1), by Newton steps.
+
+    Only entries of x that are not zero enter the second moments; each step's system is solved by elimination without pivoting,
+    as its matrix is positive definite.
+    """
+    ctes = ["""fit_rows as materialized (select row_number() over () as r, y::double as y, w::double as w, x from rows_fit),
+width as materialized (select max(len(x)) as d from fit_rows),
+entries as materialized (select r, i, v from (select r, unnest(range(1, len(x) + 1)) as i, unnest(x) as v from fit_rows) where v <> 0),
+products as materialized (select a.r, a.i, b.i as j, a.v * b.v as v from entries a join entries b on a.r = b.r),
+grid as materialized (select i, j from (select unnest(range(1, d + 1)) as i from width), (select unnest(range(1, d + 1)) as j from width)),
+b0 as (select list_transform(range(0, d), lambda i: 0.0::double) as b from width)"""]
+    for k in range(1, steps + 1):
+        ctes.append(f"""at{k} as materialized (select r, y, w, 1 / (1 + exp(-list_dot_product(x, b))) as p from fit_rows, b{k - 1}),
+g{k} as (select i, sum(w * (y - p) * v) as g from entries join at{k} using (r) group by i),
+h{k} as (select i, j, sum(w * p * (1 - p) * v) as h from products join at{k} using (r) group by i, j),
+m{k} as (
+  select list(line order by i) as m from (
+    select i, list(coalesce(h, 0) + case when i = j then 1.0::double else 0.0::double end order by j) || [any_value(coalesce(g, 0) - b[i])] as line
+    from grid left join h{k} using (i, j) left join g{k} using (i), b{k - 1} group by i
+  )
+),
+b{k} as materialized (
+  select list_transform(range(1, d + 1), lambda i: b[i] + solved[i][d + 1]) as b from b{k - 1}, width, (
+    select list_reduce(range(1, len(m) + 1), lambda a, k: list_transform(a, lambda line, r: case when r = k
+      then list_transform(line, lambda v: v / line[k]) else list_transform(line, lambda v, c: v - line[k] * a[k][c] / a[k][k]) end), m) as solved from m{k}
+  )
+)""")
+    ctes.append(f"fitted as materialized (select b from b{steps})")
+    return ",\n".join(ctes)

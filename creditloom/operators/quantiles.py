@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,13 +50,66 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFra
     return df.select(F.inline(pairs)).na.drop(subset=["value"])
 
 
+#: Ranks of the mergeable summary are off by at most one in so many rows.
+SUMMARY_ACCURACY = 10_000
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of several numeric columns from one pass; None for an all-missing column."""
+    """Exact quantiles of several numeric columns; None for an all-missing column.
+
+    A mergeable summary of each column, whose rank error is known, brackets every wanted rank. Rows below a bracket are
+    counted, and only rows inside, about four in SUMMARY_ACCURACY, are ordered. Where a bracket misses its rank, which
+    only tables of few rows allow, all rows of the column are inside. ``df`` is read three times, so it should be a written table.
+    """
     if not columns:
         return {}
-    ordered = counted(unpivot_values(df, columns, "double"), ["value"], ["feature"])
-    found = quantiles_of(ordered, {(c,): list(probabilities) for c in columns})
-    return {c: found[(c,)] for c in columns}
+    margin = 2.0 / SUMMARY_ACCURACY
+    values = {c: F.col(c).cast("double") for c in columns}
+    asked = F.array(*[F.lit(x) for q in probabilities for x in (max(q - margin, 0.0), min(q + margin, 1.0))])
+    summary = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
+        *[F.percentile_approx(v, asked, SUMMARY_ACCURACY).alias(f"q{i}") for i, v in enumerate(values.values())],
+    ).first()
+    brackets = {
+        (c, k): (summary[f"q{i}"][2 * k], summary[f"q{i}"][2 * k + 1])
+        for i, c in enumerate(columns) for k in range(len(probabilities)) if summary[f"n{i}"]
+    }
+    rows = {c: summary[f"n{i}"] for i, c in enumerate(columns)}
+    found = _inside_brackets(df, values, brackets, rows, probabilities)
+    missed = {key: (None, None) for key in brackets if key not in found}
+    if missed:
+        found.update(_inside_brackets(df, values, missed, rows, probabilities))
+    return {c: [found.get((c, k)) for k in range(len(probabilities))] for c in columns}
+
+
+def _inside_brackets(df: DataFrame, values: dict[str, Column], brackets: dict[tuple, tuple], rows: dict[str, int], probabilities: Sequence[float]) -> dict[tuple, float]:
+    """Quantile of each (column, number of the probability) whose bracket (low, high; None: open) holds its ranks."""
+    if not brackets:
+        return {}
+    keys = list(brackets)
+    lows = [F.count_if(values[c] < F.lit(brackets[c, k][0])) if brackets[c, k][0] is not None else F.lit(0) for c, k in keys]
+    below = df.agg(*[n.alias(str(i)) for i, n in enumerate(lows)]).first()
+    ordered = counted(bracket_rows(df, values, brackets), ["value"], ["feature", "number"])
+    places = {}
+    for i, (c, k) in enumerate(keys):
+        h = (rows[c] - 1) * probabilities[k]
+        low, high = math.floor(h) - below[i], math.ceil(h) - below[i]
+        if low >= 0 and high < ordered.totals.get((c, k), {"n": 0})["n"]:
+            places[c, k] = (low, high, h - math.floor(h))
+    at = ordered.rows_at({key: [low, high] for key, (low, high, _) in places.items()}, "n")
+    return {key: _weighted(float(at[key][low]["value"]), float(at[key][high]["value"]), share) for key, (low, high, share) in places.items()}
+
+
+def bracket_rows(df: DataFrame, values: dict[str, Column], brackets: dict[tuple, tuple]) -> DataFrame:
+    """(feature, number, value) of the values inside the brackets of (column, number)."""
+
+    def inside(c: str, k: int) -> Column:
+        low, high = brackets[c, k]
+        limits = [values[c].isNotNull()] + ([values[c] >= F.lit(low)] if low is not None else []) + ([values[c] <= F.lit(high)] if high is not None else [])
+        return reduce(Column.__and__, limits)
+
+    pairs = [F.when(inside(c, k), F.struct(F.lit(c).alias("feature"), F.lit(k).alias("number"), values[c].alias("value"))) for c, k in brackets]
+    return df.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).select("v.*")
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

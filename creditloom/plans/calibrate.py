@@ -56,5 +56,5 @@ def fit_calibrator(scores: OrderedTable, method: str = "isotonic") -> Calibrator
     )
     points = scores.table.select("p", F.inline(pairs)).filter(F.col(WEIGHT) > 0)
     vectors = VectorAssembler(inputCols=["p"], outputCol=VECTOR_COLUMN).transform(points)
-    fitted = penalised_logistic(float(total["n"])).fit(vectors)
-    return Calibrator(method, slope=float(fitted.coefficients[0]), offset=float(fitted.intercept))
+    slope, offset = penalised_logistic(vectors, float(total["n"])).coefficients
+    return Calibrator(method, slope=slope, offset=offset)

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..operators.compare import select_best
+from ..operators.guards import ensure_no_forbidden_features
 from ..operators.metrics import METRIC_COLUMNS, merge_scores, score_table, summary_of
 from ..operators.ordered import OrderedTable
 from ..operators.split import fold_blocks, fold_sizes
 from ..schema import CALIBRATION_METHODS, MODEL_ALIASES, MODEL_NAMES, TARGET
-from ..scratch import local_rows
+from ..scratch import local_rows, materialise
 from .calibrate import Calibrator, fit_calibrator
 from .features import fit_feature_stats
-from .models import RAW_SCORE, fit_model, predict_raw
+from .models import RAW_SCORE, encoded_rows, encoder_of, fit_encoded, packed_rows, predict_encoded
 
 # Fixed columns of the comparison report.
 COMPARISON_COLUMNS = {
@@ -36,6 +40,8 @@ class TrainingOptions:
     cross_validation: bool = True
     selected_model: str | None = None
     model_settings: dict[str, dict] = field(default_factory=dict)
+    #: Fits that submit Spark jobs at the same time.
+    parallelism: int = 8
 
     def __post_init__(self) -> None:
         """Resolve names and reject bad ones before any job starts."""
@@ -80,27 +86,62 @@ def _summary(scores: OrderedTable) -> dict:
     return summary
 
 
+def together(tasks: Sequence[Callable[[], object]], spark: SparkSession, at_once: int) -> list:
+    """Results of ``tasks``, up to ``at_once`` of them submitting their Spark jobs at the same time from threads of their own."""
+    run = inheritable_thread_target(spark)(lambda task: task())
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return list(pool.map(run, tasks))
+
+
+@dataclass
+class _Fold:
+    number: int
+    train_rows: int
+    validation_rows: int
+    encoded: DataFrame
+
+
+def _folds(train: DataFrame, features: Sequence[str], options: TrainingOptions) -> list[_Fold]:
+    """Expanding time-series folds with both classes on either side; each fold is encoded once, with its own statistics, for all models."""
+    spark = train.sparkSession
+    numbered, folds = fold_blocks(train)
+    if not folds:
+        return []
+    blocked = materialise(numbered.select(*features, TARGET, "block"))
+    sizes = sorted(fold_sizes(blocked, folds).collect(), key=lambda r: r["fold"])  # one row for each fold
+    usable = [s for s in sizes if s["train_classes"] == 2 and s["validation_classes"] == 2]
+
+    def encoded(size) -> _Fold:
+        stats = fit_feature_stats(blocked.filter(F.col("block") < size["fold"]), features)
+        seen = blocked.filter(F.col("block") <= size["fold"])
+        return _Fold(size["fold"], size["train_rows"], size["validation_rows"], encoded_rows(seen, features, stats, options.models, ["block"]))
+
+    return together([partial(encoded, size) for size in usable], spark, options.parallelism)
+
+
+def _fold_metrics(fold: _Fold, name: str, options: TrainingOptions) -> dict:
+    past, ahead = fold.encoded.filter(F.col("block") < fold.number), fold.encoded.filter(F.col("block") == fold.number)
+    classifier = fit_encoded(past, name, **options.model_settings.get(name, {}))
+    summary = _summary(score_table(predict_encoded(classifier, ahead, name), RAW_SCORE))
+    return {"fold": fold.number, "train_rows": fold.train_rows, "validation_rows": fold.validation_rows, **{m: summary[m] for m in FOLD_METRICS}}
+
+
 def cross_validate(train: DataFrame, features: Sequence[str], options: TrainingOptions) -> dict[str, dict]:
-    """Expanding time-series folds for every model; encoder statistics are fitted once per fold."""
-    blocked, folds = fold_blocks(train)
-    rows: dict[str, list[dict]] = {m: [] for m in options.models}
-    if folds:
-        for size in sorted(fold_sizes(blocked, folds).collect(), key=lambda r: r["fold"]):
-            if size["train_classes"] < 2 or size["validation_classes"] < 2:
-                continue
-            fold = size["fold"]
-            past, ahead = blocked.filter(F.col("block") < fold), blocked.filter(F.col("block") == fold)
-            stats = fit_feature_stats(past, features)
-            for name in options.models:
-                model = fit_model(past, features, name, stats, **options.model_settings.get(name, {}))
-                summary = _summary(score_table(predict_raw(model, ahead, features), RAW_SCORE))
-                rows[name].append(
-                    {
-                        "fold": fold, "train_rows": size["train_rows"], "validation_rows": size["validation_rows"],
-                        **{m: summary[m] for m in FOLD_METRICS},
-                    }
-                )
-    return {name: {"fold_count": len(found), "folds": found, **_fold_means(train, found)} for name, found in rows.items()}
+    """Metrics of expanding time-series folds for every model; all fits of all folds may run at the same time."""
+    folds = _folds(train, features, options)
+    fits = [(name, fold) for name in _longest_first(options.models) for fold in reversed(folds)]
+    found = together([partial(_fold_metrics, fold, name, options) for name, fold in fits], train.sparkSession, options.parallelism)
+    return _cv_summaries(train, options, fits, found)
+
+
+def _longest_first(models: Sequence[str]) -> list[str]:
+    """Models in the order of their usual running time, so that none of the long ones is left alone at the end."""
+    return sorted(models, key=lambda m: MODEL_NAMES.index(m), reverse=True)
+
+
+def _cv_summaries(df: DataFrame, options: TrainingOptions, fits: Sequence[tuple[str, _Fold]], found: Sequence[dict]) -> dict[str, dict]:
+    rows = {m: sorted((r for (name, _), r in zip(fits, found) if name == m), key=lambda r: r["fold"]) for m in options.models}
+    return {name: {"fold_count": len(of), "folds": of, **_fold_means(df, of)} for name, of in rows.items()}
 
 
 def fold_means(folds: DataFrame) -> DataFrame:
@@ -123,22 +164,39 @@ def _fold_means(df: DataFrame, folds: list[dict]) -> dict:
 def select_candidate(train: DataFrame, calibration: DataFrame, validation: DataFrame, features: Sequence[str], options: TrainingOptions | None = None) -> tuple[Candidate, list[Candidate]]:
     """Fit each model once, calibrate it each way, and pick the best on validation.
 
-    The raw scores of a model are reduced to two score tables; every calibrator and every metric is
-    computed from those, so loans are read once per model and split.
+    Rows of the splits and folds are encoded once each. The fits of all models and folds do not depend on each other and
+    run at the same time, ``parallelism`` of them. The raw scores of a model are reduced to two score tables; every
+    calibrator and every metric is computed from those.
     """
     options = options or TrainingOptions()
-    cv = cross_validate(train, features, options) if options.cross_validation else {}
+    ensure_no_forbidden_features(features)
+    spark = train.sparkSession
+    folds = _folds(train, features, options) if options.cross_validation else []
     stats = fit_feature_stats(train, features)
-    candidates = []
-    for name in options.models:
-        model = fit_model(train, features, name, stats, **options.model_settings.get(name, {}))
-        fitting = score_table(predict_raw(model, calibration, features), RAW_SCORE)
-        checking = score_table(predict_raw(model, validation, features), RAW_SCORE)
-        for method in options.calibration_methods:
-            calibrator = fit_calibrator(fitting, method)
-            mapped = calibrator.apply(checking.table.select(F.col("p").alias(RAW_SCORE), "n", "pos"), "p")
-            scores = merge_scores(mapped)
-            candidates.append(Candidate(name, method, model, calibrator, scores, _summary(scores), cv.get(name, {})))
+    splits = together([partial(encoded_rows, df, features, stats, options.models) for df in (train, calibration, validation)], spark, options.parallelism)
+
+    def fitted(name: str) -> tuple[Transformer, OrderedTable, OrderedTable]:
+        classifier = fit_encoded(splits[0], name, **options.model_settings.get(name, {}))
+        return (classifier, *[score_table(predict_encoded(classifier, encoded, name), RAW_SCORE) for encoded in splits[1:]])
+
+    names = _longest_first(options.models)
+    fits = [(name, fold) for name in names for fold in reversed(folds)]
+    # Those of one model stand together, its largest fit first.
+    tasks = [task for name in names for task in (partial(fitted, name), *[partial(_fold_metrics, fold, n, options) for n, fold in fits if n == name])]
+    results = together(tasks, spark, options.parallelism)
+    each = 1 + len(folds)
+    models = dict(zip(names, results[::each]))
+    cv = _cv_summaries(train, options, fits, [r for i, r in enumerate(results) if i % each]) if options.cross_validation else {}
+
+    def calibrated(name: str, method: str) -> Candidate:
+        classifier, fitting, checking = models[name]
+        calibrator = fit_calibrator(fitting, method)
+        mapped = calibrator.apply(checking.table.select(F.col("p").alias(RAW_SCORE), "n", "pos"), "p")
+        scores = merge_scores(mapped)
+        encoder = encoder_of(spark, name, stats, packed_rows(train, features))
+        return Candidate(name, method, PipelineModel([*encoder.stages, classifier]), calibrator, scores, _summary(scores), cv.get(name, {}))
+
+    candidates = together([partial(calibrated, n, m) for n in options.models for m in options.calibration_methods], spark, options.parallelism)
     best = select_best(rank_rows(train, candidates), options.models, options.selected_model).first()
     chosen = (best["model_name"], best["calibration_method"])
     return next(c for c in candidates if (c.model_name, c.calibration_method) == chosen), candidates

@@ -99,7 +99,8 @@ def test_sigmoid_minimises_the_penalised_loss(spark):
     c = fit_calibrator(score_table(spark.createDataFrame(points, "p_raw double, default int"), "p_raw"), "sigmoid")
 
     def loss(a, b):
-        return a * a / 2 + sum(math.log(1 + math.exp(-(1 if y else -1) * (a * p + b))) for p, y in points)
+        return (a * a + b * b) / 2 + sum(  # the reference's solver penalises the intercept too
+            math.log(1 + math.exp(-(1 if y else -1) * (a * p + b))) for p, y in points)
 
     here = loss(c.slope, c.offset)
     assert all(here <= loss(c.slope + da, c.offset + db) + 1e-6 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
