@@ -14,6 +14,7 @@ from ..operators.prepare import prepare_loans
 from ..operators.split import split_chronological, split_manifest, split_summary, test_ids
 from ..operators.target import target_summary
 from ..schema import FEATURES
+from ..scratch import materialise
 from .bundle import read_json_row, write_json_row
 from .loans import CSV_WRITE, fingerprint_text, sample_loans, select_loan_columns
 
@@ -48,14 +49,22 @@ def prepare_dataset(source: DataFrame, root: str, features: Sequence[str] = FEAT
 
     The folder name is derived from content, sample and features, and a summary file is written
     last, so a folder is either complete and right or not used at all.
+
+    The source is read once, into a columnar copy of its needed columns. Fingerprint, status check, dates, and target counts are read
+    from that, each only the columns it needs.
     """
     spark = source.sparkSession
     raw = select_loan_columns(source, features)
-    fingerprint = fingerprint or fingerprint_text(raw)
+    if fingerprint is None:
+        raw, staged = materialise(raw), True
+        fingerprint = fingerprint_text(raw)
+    else:
+        staged = False
     path = f"{root.rstrip('/')}/{dataset_key(fingerprint, sample, features)}"
     cached = load_dataset(spark, path)
     if cached is not None:
         return cached
+    raw = raw if staged else materialise(raw)
     prepared = prepare_loans(raw)
     if sample is not None:
         prepared = sample_loans(prepared, sample)

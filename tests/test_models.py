@@ -14,6 +14,7 @@ from creditloom.plans.models import fit_model, predict_raw
 from creditloom.plans.score import score
 from creditloom.plans.select import TrainingOptions
 from creditloom.plans.train import field_defaults
+from creditloom.scratch import materialise
 from creditloom.sources.bundle import ModelBundle
 from creditloom.sources.loans import read_scoring_batch
 from creditloom.sources.dataset import write_scored
@@ -94,6 +95,36 @@ def test_calibrators(spark):
         fit_calibrator(scores, "other")
 
 
+def test_isotonic_blocks_pooled_over_many_partitions(spark, monkeypatch):
+    from creditloom.operators.ordered import ordered_table
+    from creditloom.plans import calibrate
+
+    monkeypatch.setattr(calibrate, "MERGED", 2)
+    rows = spark.range(3000, numPartitions=3).select((F.rand(3) + F.col("id") * 1e-9).alias("p"), F.lit(1).cast("bigint").alias("n"), F.rand(4).alias("u"))
+    rows = materialise(rows.withColumn("pos", (F.col("u") < F.col("p")).cast("bigint")).drop("u"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        scores = ordered_table(rows, ["p"], ["n", "pos"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(scores.parts) > 4
+    blocks = sorted((r["low"], r["high"], r["n"], r["pos"]) for r in calibrate.pooled_blocks(scores).collect())
+    values = sorted((r["p"], r["pos"]) for r in rows.collect())
+    kept = []
+    for p, pos in values:
+        kept.append([p, p, 1, pos])
+        while len(kept) > 1 and kept[-2][3] * kept[-1][2] >= kept[-1][3] * kept[-2][2]:
+            last = kept.pop()
+            kept[-1] = [kept[-1][0], last[1], kept[-1][2] + last[2], kept[-1][3] + last[3]]
+    assert blocks == [tuple(b) for b in kept] and len(kept) < 400
+    fitted = fit_calibrator(scores, "isotonic").apply(rows.withColumnRenamed("p", "p_raw")).select("p_raw", "p_default").collect()
+    steps = {b[0]: b[3] / b[2] for b in kept}
+    starts = sorted(steps)
+    for r in fitted:
+        assert r["p_default"] == pytest.approx(steps[max(s for s in starts if s <= r["p_raw"])])
+
+
 def test_sigmoid_minimises_the_penalised_loss(spark):
     points = [(0.1, 0)] * 3 + [(0.2, 0), (0.7, 1), (0.9, 1), (0.9, 0)]
     c = fit_calibrator(score_table(spark.createDataFrame(points, "p_raw double, default int"), "p_raw"), "sigmoid")

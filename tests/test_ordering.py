@@ -80,6 +80,20 @@ def test_quantiles_match_linear_interpolation(many_parts):
     assert exact_medians(many_parts.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double"), ["v"]) == {"v": 2.5}
 
 
+def test_only_rows_inside_the_brackets_are_ordered(many_parts, monkeypatch):
+    from creditloom.operators import quantiles
+
+    seen = []
+    inside = quantiles.bracket_rows
+    monkeypatch.setattr(quantiles, "bracket_rows", lambda *a: seen.append(inside(*a)) or seen[-1])
+    monkeypatch.setattr(quantiles, "SUMMARY_ACCURACY", 200)
+    df = many_parts.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id")).alias("y"))
+    got = exact_quantiles(df, ["x", "y"], [0.25, 0.5])
+    assert got["x"] == [4999.75, 9999.5] and got["y"][0] == 5.0
+    assert len(seen) == 1 and seen[0].filter("feature = 'x'").groupBy("number").count().agg(F.max("count")).first()[0] < 900
+    assert seen[0].filter("feature = 'x' and number = 1").agg(F.min("value"), F.max("value")).first()[0] > 9000
+
+
 def test_quantile_bins_are_right_closed(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 3.0, None)], "v double")
     got = [r[0] for r in df.select(quantile_bin(F.col("v"), [0.0, 1.0, 2.0, 3.0])).collect()]

@@ -141,3 +141,18 @@ def test_streamed_scores_equal_batch_scores(spark, trained, tmp_path):
     streamed, batch = spark.read.parquet(f"{tmp_path}/out"), score_requests(requests, bundle)
     assert streamed.count() == 40
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+
+
+def test_a_dataset_reads_its_source_once(spark, tmp_path):
+    from creditloom.sources.dataset import prepare_dataset
+
+    source = text_frame(spark, loan_rows())
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    first = prepare_dataset(source.mapInPandas(counted, source.schema), str(tmp_path))
+    assert read.value == 40 and first.manifest["row_counts"]["train"] == 24
