@@ -34,7 +34,7 @@ from .links import components
 SEED = 42
 COORDINATES, MATCHES = 64, 36
 #: Open pairs for each posting of the whole table, up to which all are looked at.
-PAIRS_EACH = 4
+PAIRS_EACH = 0.25
 #: By how much the partners of a list grow from round to round.
 GROWTH = 4
 #: Pairs of one set that meet it in one group.
@@ -178,16 +178,18 @@ def _joined_roots(postings: DataFrame, signatures: DataFrame, sets: DataFrame, s
         keys = ["coordinate", "value"]
         held = materialise(join_counted(held.select(*keys, "node", "n_shingles", "root"), lists.select(*keys, "n"), keys))
         last, partners = pairs <= budget, GROWTH**round_number
-        # A place in [0, 1) for each set, new in each round; the first few of a list are the partners of all others.
-        place = F.pmod(F.xxhash64("node", F.lit(round_number)), F.lit(1 << 40)) / float(1 << 40)
+        # A place in [0, 1) for each set; the first few of a list are the partners of all behind them, each in one round.
+        place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
         left = held.select(*keys, F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("size_a"), place.alias("place_a"))
         as_partner = F.struct(F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("size_a").alias("size_b"), F.col("place_a").alias("place_b"))
+        least = held.groupBy(*keys).agg(F.min(place).alias("least"), F.first("n").alias("n"))
+        upto = {"limit": F.lit(1.0) if last else F.greatest("least", partners / F.col("n")), "done": F.greatest("least", partners / GROWTH / F.col("n")) if round_number else F.lit(-1.0)}
+        limits = materialise(least.select(*keys, "n", *[v.alias(k) for k, v in upto.items()]))
+        chosen = join_counted(left, limits, keys).filter("place_a <= limit and place_a > done")
         if last:
-            met = left.join(left.select(*keys, as_partner.alias("p")), keys)
+            met = left.join(chosen.select(*keys, as_partner.alias("p")), keys)
         else:
-            least = held.groupBy(*keys).agg(F.min(place).alias("least"), F.first("n").alias("n"))
-            limits = materialise(least.select(*keys, "n", F.greatest("least", partners / F.col("n")).alias("limit")))
-            chosen = join_counted(left, limits, keys).filter("place_a <= limit").groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(as_partner).alias("partners"))
+            chosen = chosen.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(as_partner).alias("partners"))
             met = join_counted(left, materialise(chosen), keys).withColumn("p", F.explode("partners"))
         met = met.select("a", "root_a", "size_a", "place_a", "p.*")
         # Of two partners the one with the later place meets the other.
@@ -225,7 +227,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, similarity: float = 0.85) ->
     meeting = postings.select("node").distinct()
     known = materialise(nodes.select("node", "text_key", "signature").join(meeting.hint("merge"), "node"))
     sets = materialise(_sets(docs, known.select("node", "text_key"), size))
-    roots = _joined_roots(postings, known.select("node", F.col("signature").alias("payload")), sets.select("node", F.col("hashes").alias("payload")), share)
+    # Sixteen bits of each coordinate are enough to count on: an accidental match only sends a pair to the whole sets.
+    short = F.transform("signature", lambda v: F.shiftright(F.shiftleft(v, 48), 48).cast("smallint"))
+    roots = _joined_roots(postings, known.select("node", short.alias("payload")), sets.select("node", F.col("hashes").alias("payload")), share)
     grouped = nodes.select("content", "node", "first_id", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes"))
     joined = join_counted(grouped.select("content", "root", "n"), materialise(least), ["root"], "n_nodes")
