@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Where that is not set, as in tests, it is a folder in the session's warehouse, which all executors
-    share as well. A machine-local temporary folder is never used.
+    Where that is not set it is a folder in the session's warehouse, for sessions of one machine only: a cluster has to
+    name a folder that all its machines share. A machine-local temporary folder is never used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
 
 
