@@ -28,14 +28,44 @@ TRIGRAMS = 50_000
 TEMPER = 0.2
 #: Pages that a parent in the address counts for.
 STRENGTH = 5.0
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
+_HIDING = re.compile(r"<(script|style)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
 def visible(page: str) -> str:
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """Text without scripts, styles, comments and tags, in one scan: once an end is not found, it is not looked for again.
+
+    A script, style or comment that does not end hides its first tag only; a tag that does not end hides nothing.
+    """
+    kept, at, start, absent = [], 0, page.find("<"), set()
+    while start >= 0:
+        end = -1
+        hiding = _HIDING.match(page, start)
+        if hiding and (name := hiding[1].lower()) not in absent:
+            found = _ENDS[name].search(page, hiding.end())
+            end = found.end() if found else end
+            absent |= set() if found else {name}
+        elif page.startswith("<!--", start) and "-->" not in absent:
+            found = page.find("-->", start + 4)
+            end = found + 3 if found >= 0 else end
+            absent |= set() if found >= 0 else {"-->"}
+        if end < 0 and ">" not in absent:
+            end = page.find(">", start) + 1 or -1
+        if end < 0:
+            break  # no tag ends any more
+        kept += [page[at:start], " "]
+        at, start = end, page.find("<", end)
+    return html.unescape("".join(kept) + page[at:])
+
+
+def declared_language(page: str) -> str | None:
+    """The language that a page's first html tag with one declares, in small letters."""
+    found = (_LANG.search(tag[0], 5) for tag in _HTML.finditer(page))
+    return next((m[1].lower() for m in found if m), None)
 
 
 def trigrams(text: str) -> Counter:
@@ -130,8 +160,8 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
                 host = found[1].lower().strip(".") if found else ""
                 labels = host.split(".")
                 source = page.as_py() or ""
-                said = _DECLARED.search(source)
-                declared = "none" if not said else said[1].lower() if said[1].lower() in known else "other"
+                said = declared_language(source)
+                declared = "none" if said is None else said if said in known else "other"
                 rows.append((host, ".".join(labels[-2:]), labels[-1], declared, model.log_likelihood(visible(source))))
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.string()] * 4 + [pa.list_(pa.float64())]
