@@ -75,8 +75,12 @@ def sketch(items: Column) -> Column:
     def empty(i: Column) -> Column:
         return _cell(i, F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
-    numbers = F.sequence(F.lit(0), F.lit(CELLS - 1))
-    return F.transform(numbers, lambda i: F.aggregate(F.filter(items, lambda t: _here(t, i)), empty(i), add))
+    def cells(all_items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(CELLS - 1))
+        return F.transform(numbers, lambda i: F.aggregate(F.filter(all_items, lambda t: _here(t, i)), empty(i), add))
+
+    # Bound to a variable, the items are worked out once and not for each cell.
+    return F.get(F.transform(F.array(items), cells), F.lit(0))
 
 
 def subtract(left: Column, right: Column) -> Column:
