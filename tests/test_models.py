@@ -2,7 +2,7 @@ import math
 
 import pytest
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from creditloom.operators.compare import attach_scores, comparison_table, ensure_same_ids, id_set_difference, score_alignment, select_best, top_features
@@ -10,7 +10,7 @@ from creditloom.operators.metrics import metric_rows, score_table
 from creditloom.plans.calibrate import Calibrator, fit_calibrator
 from creditloom.plans.evaluate import data_context
 from creditloom.plans.features import VECTOR_COLUMN, fit_feature_stats, linear_encoder, pack_features, tree_encoder
-from creditloom.plans.models import fit_model, predict_raw, whole_waves
+from creditloom.plans.models import fit_encoded, fit_model, predict_raw, vector_name, whole_waves
 from creditloom.plans.score import score
 from creditloom.plans.select import TrainingOptions
 from creditloom.plans.train import field_defaults
@@ -67,6 +67,17 @@ def test_tree_fits_fill_all_cores(spark):
         assert max(sizes) - min(sizes) <= given
 
 
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    rows = spark.range(200, numPartitions=1).select(
+        (F.col("id") % 2).cast("double").alias("default"), array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 2).cast("double"))).alias(vector_name("random_forest"))
+    )
+    settings = dict(numTrees=3, maxDepth=3, minInstancesPerNode=5)
+    kept, walked = fit_encoded(rows, "random_forest", **settings), fit_encoded(rows, "random_forest", **settings, cacheNodeIds=False)
+    assert kept.getOrDefault("cacheNodeIds")
+    trees = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert trees(kept) == trees(walked)
+
+
 def test_encoders(spark):
     rows = [(1.0, "B", None), (2.0, "A", "x"), (3.0, "B", "x"), (None, None, "y"), (10.0, "A", "y")]
     train = spark.createDataFrame(rows, "dti double, grade string, purpose string")
