@@ -114,12 +114,15 @@ class Design:
         return np.bincount(self.index, weights=np.repeat(values, self.lengths), minlength=self.width)
 
 
-def design(sample: DataFrame, extract: Extract, vocabulary: Vocabulary) -> Design:
-    """Indicators of the sample, whose rows are bounded, in an order that only depends on their content."""
+def design(sample: DataFrame, active: Callable[[str], list[int]], vocabulary: Vocabulary) -> Design:
+    """Indicators of the sample, whose rows are bounded, in an order that only depends on their content.
+
+    ``active`` gives the numbers of a text's features in the vocabulary, in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0):
-            rows = [vocabulary.active(extract(t.as_py() or "")) for t in batch.column(0)]
+            rows = [active(t.as_py() or "") for t in batch.column(0)]
             labels = pa.array([int(x.as_py()) for x in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), labels], names=["active", "label"])
 

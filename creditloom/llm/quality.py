@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +29,74 @@ THRESHOLD = 0.3
 
 def shape(word: str) -> str:
     """The word with runs of capitals, small letters, digits and other letters as one sign each, punctuation as it is."""
+    word = word[:64]
+    if word.isalpha():  # most words
+        if word.islower():
+            return "x"
+        if word[0].isupper() and word[1:].islower():
+            return "Xx"
     signs = []
-    for c in word[:64]:
+    for c in word:
         if c.isalpha():
             c = "X" if c.isupper() else "x"
         elif c.isdigit():
             c = "0"
-        if len(signs) < 2 or c != signs[-1] or not c.isalnum():
-            if not signs or c != signs[-1] or not c.isalnum():
-                signs.append(c)
+        if not signs or c != signs[-1] or not c.isalnum():
+            signs.append(c)
     return "".join(signs[:8])
 
 
-class _Shapes(dict):
-    def __missing__(self, word: str) -> str:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = value = shape(word)
-        return value
+#: Shapes of words that a worker has met, bounded by _MOST_SHAPES.
+_shapes: dict[str, str] = {}
+_MOST_SHAPES = 100_000
 
 
-_shapes = _Shapes()
+def _remembered(word: str) -> str:
+    if len(_shapes) > _MOST_SHAPES:
+        _shapes.clear()
+    _shapes[word] = value = shape(word)
+    return value
 
 
-def features(text: str) -> set[str]:
-    """Words, pairs of words, and runs of one to three word shapes; a word that repeats the one before has shape ``=``."""
+def _words_and_forms(text: str) -> tuple[list[str], list[str]]:
+    """Words in small letters, and the shapes of the words as they are; a word that repeats the one before has shape ``=``."""
     words = text.split()
-    forms = list(map(_shapes.__getitem__, words))
-    for i, (a, b) in enumerate(zip(words, words[1:]), 1):
-        if a == b:
-            forms[i] = "="
-    low = text.lower().split()
+    forms = list(map(_shapes.get, words))
+    if None in forms:
+        forms = [form or _remembered(word) for form, word in zip(forms, words)]
+    repeats = list(map(eq, words, words[1:]))
+    if True in repeats:
+        forms[1:] = ["=" if same else form for same, form in zip(repeats, forms[1:])]
+    return text.lower().split(), forms
+
+
+def features(text: str) -> set[str]:
+    """Words, pairs of words, and runs of one to three word shapes."""
+    low, forms = _words_and_forms(text)
     found = {"w " + w for w in set(low)} | {f"p {a} {b}" for a, b in set(zip(low, low[1:]))}
     found |= {"1 " + f for f in set(forms)} | {f"2 {a} {b}" for a, b in set(zip(forms, forms[1:]))}
     return found | {f"3 {a} {b} {c}" for a, b, c in set(zip(forms, forms[1:], forms[2:]))}
 
 
+class Lookup:
+    """The features of a vocabulary by kind, so that those of a text are found without spelling out all others."""
+
+    def __init__(self, vocabulary: ngrams.Vocabulary) -> None:
+        self.kinds: dict[str, dict] = {kind: {} for kind in "wp123"}
+        for i, name in enumerate(vocabulary.names):
+            kind, *parts = name.split(" ")
+            self.kinds[kind][parts[0] if len(parts) == 1 else tuple(parts)] = i
+
+    def active(self, text: str) -> list[int]:
+        """``vocabulary.active(features(text))``."""
+        low, forms = _words_and_forms(text)
+        runs = {"w": low, "p": zip(low, low[1:]), "1": forms, "2": zip(forms, forms[1:]), "3": zip(forms, forms[1:], forms[2:])}
+        found = []
+        for kind, index in self.kinds.items():
+            found.extend(map(index.__getitem__, index.keys() & runs[kind]))
+        return sorted(found)
+
+
 def log_ratios(vocabulary: ngrams.Vocabulary) -> np.ndarray:
     """log of (smoothed share among the counts of class 1) / (that of class 0)."""
     p, q = vocabulary.counts[:, 1] + 1, vocabulary.counts[:, 0] + 1
@@ -102,12 +136,16 @@ class QualityModel:
     slope: float
     offset: float
 
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.vocabulary)
+
     def margin(self, active: list[int]) -> float:
         size = np.sqrt(float(self.ratios[active] @ self.ratios[active]))
         return float(self.weights[active].sum()) / max(size, 1e-9) + self.bias if active else self.bias
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.vocabulary.active(features(text))) + self.offset, -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.lookup.active(text)) + self.offset, -500, 500))))
 
 
 def _train(x: ngrams.Design, rows: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
@@ -133,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ngrams.ROWS_PE
     """
     sample = ngrams.labelled_sample(docs, labels.select("doc_id", labels["quality"].alias("label")), rows_per_class)
     vocabulary = ngrams.choose(sample, features, FEATURES)
-    x = ngrams.design(sample, features, vocabulary)
+    x = ngrams.design(sample, Lookup(vocabulary).active, vocabulary)
     ratios = log_ratios(vocabulary)
     everything = np.arange(len(x.labels))
     weights, bias = _train(x, everything, ratios)

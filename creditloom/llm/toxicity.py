@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ngrams.ROWS_PE
     """
     sample = ngrams.labelled_sample(docs, labels.select("doc_id", labels["toxic"].alias("label")), rows_per_class)
     vocabulary = ngrams.choose(sample, features, FEATURES)
-    x = ngrams.design(sample, features, vocabulary)
+    x = ngrams.design(sample, lambda text: vocabulary.active(features(text)), vocabulary)
     weights, thresholds = fit_ordinal(x, severity_grades(x, vocabulary))
     return OrdinalModel(vocabulary, weights, thresholds)
 

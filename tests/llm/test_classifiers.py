@@ -123,3 +123,13 @@ def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
     docs = small.docs(spark, [(1, "b")] * 50 + [(1, "a"), (1, None), (2, "c"), (3, None)])
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
     assert small.rows(ngrams.labelled_sample(docs, labels)) == sorted([("a", 1), ("c", 0), (None, 0)], key=small.key)
+
+
+def test_lookup_finds_the_features_of_the_vocabulary():
+    generator = random.Random(3)
+    words = ["a", "A", "Ab1", "ab1", "x-y", "Éa", "İ", "12", "w", "p", "1", "="]
+    texts = [" ".join(generator.choices(words, k=generator.randrange(12))) for _ in range(200)] + ["", " ", "a\u00a0a\x1ca", *(t or "" for _, t in small.AWKWARD)]
+    names = sorted({f for t in texts[:150] for f in quality.features(t)})[::2]
+    vocabulary = ngrams.Vocabulary(names, np.ones((len(names), 2)), np.ones(2))
+    lookup = quality.Lookup(vocabulary)
+    assert [lookup.active(t) for t in texts] == [vocabulary.active(quality.features(t)) for t in texts]
