@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from creditloom.plans.calibrate import Calibrator
 from creditloom.operators.metrics import metric_rows, score_table
 from creditloom.plans.evaluate import evaluate_locked, evaluate_on_split, generate_reports, score_split
-from creditloom.plans.select import Candidate, TrainingOptions
+from creditloom.plans.select import Candidate, TrainingOptions, together
 from creditloom.plans.train import bundle_metadata
 from creditloom.schema import FEATURES, SPLITS
 from creditloom.scratch import local_rows, materialise, scratch_root
@@ -160,7 +160,6 @@ def locked_evaluation(spark, folder):
     bundle = _formula_bundle(source_fingerprint=dataset.fingerprint)
     save_bundle(spark, bundle, f"{root}/bundle", dataset.test_ids())
     generate_reports(bundle, score_split(bundle, dataset.split("validation")), f"{root}/reports/validation", "validation")
-    evaluate_locked(spark, f"{root}/bundle", source, f"{root}/reports", f"{root}/datasets")
 
     def refused(bundle_path: str, rows: DataFrame, reports: str) -> bool:
         try:
@@ -169,16 +168,24 @@ def locked_evaluation(spark, folder):
             return True
         return False
 
+    def other_ids() -> bool:
+        save_bundle(spark, _formula_bundle(source_fingerprint=dataset.fingerprint), f"{root}/other", dataset.test_ids().limit(1))
+        return refused(f"{root}/other", source, f"{root}/reports")
+
+    def other_report() -> bool:
+        save_bundle(spark, _formula_bundle(selected_model_name="other", source_fingerprint=dataset.fingerprint), f"{root}/renamed", dataset.test_ids())
+        return refused(f"{root}/renamed", source, f"{root}/reports")
+
+    # The evaluation and the refusals do not depend on each other; only the evaluation writes reports.
+    _, *refusals = together([
+        lambda: evaluate_locked(spark, f"{root}/bundle", source, f"{root}/reports", f"{root}/datasets"),
+        lambda: refused(f"{root}/bundle", source.filter("id <> '1'"), f"{root}/reports"), other_report, other_ids,
+    ], spark, 4)
     manifest = read_json_row(spark, f"{root}/reports/test/evaluation_manifest")
-    save_bundle(spark, _formula_bundle(source_fingerprint=dataset.fingerprint), f"{root}/other", dataset.test_ids().limit(1))
-    other = _formula_bundle(selected_model_name="other", source_fingerprint=dataset.fingerprint)
-    save_bundle(spark, other, f"{root}/renamed", dataset.test_ids())
     checks = {
         "bundle_fingerprint": manifest["bundle_fingerprint"] == bundle_fingerprint(spark, f"{root}/bundle"),
         "source_fingerprint": manifest["source_fingerprint"] == dataset.fingerprint,
-        "other_source_refused": refused(f"{root}/bundle", source.filter("id <> '1'"), f"{root}/reports"),
-        "other_report_refused": refused(f"{root}/renamed", source, f"{root}/reports"),
-        "other_ids_refused": refused(f"{root}/other", source, f"{root}/reports"),
+        **dict(zip(("other_source_refused", "other_report_refused", "other_ids_refused"), refusals)),
     }
     held = spark.read.json(f"{root}/reports/test/evaluation_manifest")
     fields = ["rows", *_METRICS]

@@ -132,11 +132,16 @@ def source_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> D
     digest = F.md5(F.concat(*[_field(c) for c in columns]))
 
     def word(i: int) -> Column:
-        return F.conv(F.substring(F.col("h"), 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)")
+        return F.conv(F.substring(F.col("h"), 1 + 8 * i, 8), 16, 10).cast("bigint")
 
-    return df.select(digest.alias("h")).agg(
-        F.md5(F.lit(layout)).alias("layout"), F.count("*").alias("rows"),
-        *[F.coalesce(F.sum(word(i)), F.lit(0)).cast("string").alias(f"word{i + 1}") for i in range(4)],
+    # Summed as whole numbers in 256 groups of hashes, each of which holds two billion rows, then as decimals.
+    per_group = df.select(digest.alias("h")).groupBy(F.substring("h", 1, 2).alias("g")).agg(
+        F.count("*").alias("rows"), *[F.sum(word(i)).alias(f"word{i + 1}") for i in range(4)]
+    )
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0))
+    return per_group.agg(
+        F.md5(F.lit(layout)).alias("layout"), total("rows").cast("bigint").alias("rows"),
+        *[total(f"word{i + 1}").cast("string").alias(f"word{i + 1}") for i in range(4)],
     )
 
 

@@ -1,3 +1,4 @@
+from hashlib import md5
 import datetime
 import math
 
@@ -137,6 +138,18 @@ def test_risk_band_treats_missing_as_high(spark):
     assert [r[0] for r in df.select(risk_band(F.col("p"), 0.1, 0.2)).collect()] == ["low", "medium", "high", "high", "high"]
 
 
+def test_fingerprint_sums_whole_numbers_per_group(spark):
+    from creditloom.sources.loans import source_fingerprint
+
+    df = spark.range(1000, numPartitions=3).selectExpr("id", "cast(id % 7 as string) as t")
+    digests = [md5(f"{len(str(i))}:{i}1:{i % 7}".encode()).hexdigest() for i in range(1000)]
+    found = source_fingerprint(df)
+    row = found.first()
+    assert row["rows"] == 1000 and [row[f"word{k + 1}"] for k in range(4)] == [str(sum(int(d[8 * k : 8 * k + 8], 16) for d in digests)) for k in range(4)]
+    # Only the sums of the groups are decimals, not the words of every row.
+    assert "conv" in (plan := found._jdf.queryExecution().analyzed().toString()) and "as decimal(28,0)" not in plan.split("+- Aggregate")[-1]
+
+
 def test_fingerprints_that_must_differ(spark):
     from creditloom.sources.loans import fingerprint_text, source_fingerprint
 
