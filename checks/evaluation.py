@@ -31,7 +31,7 @@ from creditloom.plans.importance import permutation_importance
 from creditloom.plans.models import fit_model, predict_raw
 from creditloom.plans.select import FOLD_METRICS, TrainingOptions, comparison_rows, fold_means, select_candidate
 from creditloom.plans.train import field_defaults
-from creditloom.schema import CATEGORICAL_FEATURES, FEATURES, LOG_FEATURES, NUMERIC_FEATURES
+from creditloom.schema import CATEGORICAL_FEATURES, FEATURES, LOG_FEATURES, NUMERIC_FEATURES, TARGET
 from creditloom.scratch import local_rows, materialise, scratch_root
 from creditloom.sources.dataset import prepare_dataset
 from creditloom.sources.testtables import loans, table
@@ -651,7 +651,7 @@ def sigmoid_calibration(spark, folder):
 
 
 def _fitted_metrics(spark, folder, name, **settings):
-    df = materialise(split(spark, folder).drop("p_raw"))  # fitting reads the rows many times
+    df = materialise(split(spark, folder).select(*FEATURES, TARGET, "split"))  # fitting reads the rows many times
     model = fit_model(in_splits(df, "train"), FEATURES, name, **settings)
     return metric_rows(score_table(predict_raw(model, in_splits(df, "validation"), FEATURES), "p_raw"))
 
@@ -708,6 +708,6 @@ def boosted_trees_model(spark, folder):
 @query()
 def candidate_grid(spark, folder):
     """All models with all features and calibrations, with cross-validation, at default settings."""
-    df = materialise(split(spark, folder).drop("p_raw"))
+    df = materialise(split(spark, folder).select("id", "issue_dt", *FEATURES, TARGET, "split"))
     _, candidates = select_candidate(*[in_splits(df, s) for s in ("train", "calibration", "validation")], FEATURES, TrainingOptions())
     return comparison_rows(df, candidates)
