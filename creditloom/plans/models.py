@@ -83,12 +83,12 @@ def vector_name(name: str) -> str:
 
 
 def whole_waves(rows: DataFrame) -> DataFrame:
-    """``rows`` in equal partitions, as many as fill all cores a whole number of times; a table of one partition as it is.
+    """``rows`` in equal partitions, as many as fill all cores a whole number of times; a small table of fewer partitions as it is.
 
     A tree fit runs hundreds of short jobs over the same partitions, so one partition too many doubles the time of each.
     """
     now, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
-    return rows if now == 1 else rows.repartition(max(1, round(now / cores)) * cores)
+    return rows if now < cores else rows.repartition(round(now / cores) * cores)
 
 
 def fit_encoded(encoded: DataFrame, name: str, **overrides) -> Transformer:
