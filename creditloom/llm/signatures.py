@@ -1,18 +1,18 @@
-"""MinHash near-duplicates by an inverted join on signature coordinates.
+"""MinHash near-duplicates: groups of sets that share a band, compared in full inside the groups.
 
-Each distinct set of shingles has a signature of COORDINATES minima. It is posted under each (coordinate, value); two
-sets of similarity s agree in a binomial number of coordinates. Pairs that agree in MATCHES coordinates or more are
-candidates, the others are let go: at s = 0.85 that loses one pair in 130 million, above that fewer.
+Each distinct set of shingles has a signature of COORDINATES minima, cut into bands of BAND coordinates. Two sets of
+similarity s share a band with probability 1 - (1 - s**BAND)**BANDS: at s = 0.85 that loses one pair in 480 million, above
+that fewer. Pairs that share a band are candidates, the others are let go. Bands of one set only drop out at once.
 
-Lists of one set are dropped, and so are sets with fewer than MATCHES lists. What is left of a signature is ordered by
-the length of the lists: two sets with MATCHES common lists have one among the first (lists - MATCHES + 1) of both, so
-only these short prefixes are merged, the long lists are skipped. The collisions of a pair found in them are
-counted on both signatures, and pairs that reach MATCHES are confirmed on the whole sets.
+Of the sets with a band the one that shares most with others leads it, so the many bands of a family of near copies have few
+leaders. The sets of all bands of a leader are its group: each candidate pair meets in a group, and a set is sent to
+a group once, however many of its bands lead there. Nothing is made for each pair: the whole sets of a group meet in one task,
+which counts what they share and returns links enough to span the components it sees.
 
-Components are wanted, not pairs: a list is not paired with itself while many of its sets will be linked anyway. All
-sets of a list first meet one of them, then four, sixteen, ...; lists whose sets are in one component are settled, pairs
-within a component are skipped, and as soon as the open pairs are few, all of them are looked at. So the
-components are those of all candidate pairs.
+Large groups are cut into blocks. First each block is compared by itself, with the leader and a few others as guests, which is work in
+proportion to the group and joins most of what belongs together. Only groups that are then still of more than one component go on: all
+their blocks meet each other, but not blocks of the largest component among themselves.
+So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..scratch import materialise
@@ -32,13 +32,15 @@ from .hot import join_counted
 from .links import components
 
 SEED = 42
-COORDINATES, MATCHES = 64, 36
-#: Open pairs for each posting of the whole table, up to which all are looked at.
+BAND, BANDS = 3, 21
+COORDINATES = BAND * BANDS
+#: Sets of up to USUAL shingles that meet in one task, half of them from either block; longer sets count as several.
+GROUP_PAIRS = 2048
+USUAL = 256
+#: Share of GROUP_PAIRS up to which a group is compared at once, uncut.
 PAIRS_EACH = 0.25
-#: By how much the partners of a list grow from round to round.
+#: Sets that visit all blocks of a large group with its leader, on average.
 GROWTH = 4
-#: Pairs of one set that meet it in one group.
-GROUP_PAIRS = 2048
 #: Hashes that meet all coordinates at once.
 _AT_ONCE = 1 << 10
 
@@ -85,8 +87,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least.view(np.int64)
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of the signature of ``hashes``; equal keys of unlike bands do not occur but by accident."""
+    parts = signature(hashes).view(np.uint64).reshape(BANDS, BAND)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND):
+        keys = _mixed(keys + parts[:, k])
+    return keys.view(np.int64)
+
+
 def _marked(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, content, n_shingles, signature) of every row; content is a digest of the set, empty for the empty set."""
+    """(doc_id, text_key, content, n_shingles, bands) of every row; content is a digest of the set, empty for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -94,117 +105,145 @@ def _marked(docs: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t.as_py(), size, words) for t in batch.column(1).cast(pa.binary())]
             columns = [
                 batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "content", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "content", "n_shingles", "bands"])
 
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.BinaryType()), T.StructField("content", T.BinaryType()),
-        T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.ArrayType(T.LongType())),
+        T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
     return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(run, schema)
 
 
 def _text_key():
-    return F.unhex(F.md5("text"))
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of ``nodes`` (node, text_key), from the texts of ``docs`` with these keys."""
+    """Digest of the text, then of the id: copies under other ids have other keys, so a text with many copies is fetched once."""
+    return F.unhex(F.concat(F.md5("text"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node, text_key), from ``docs``."""
+    found = docs.select("text", _text_key().alias("text_key")).join(nodes.hint("merge"), "text_key")
+    # Rows that repeat have equal keys; one of them is enough.
+    return found.groupBy("text_key", "node").agg(F.min("text").alias("text")).select("node", "text")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(group, node, units) of the sets that share a band with others: a group is named by its leader."""
+    posts = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    shared = join_counted(posts, materialise(posts.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")), ["band"])
+    by_node = shared.groupBy("node", "n_shingles").agg(F.sum("n").alias("weight"), F.collect_list("band").alias("bands"))
+    units = F.greatest(F.lit(1.0), F.col("n_shingles") / USUAL)
+    posts = materialise(by_node.select("node", "weight", units.alias("units"), F.explode("bands").alias("band")))
+    leaders = posts.groupBy("band").agg(F.max(F.struct("weight", "node"))["node"].alias("group"), F.count("*").alias("n"))
+    return join_counted(posts, materialise(leaders), ["band"]).select("group", "node", "units").distinct()
+
+
+def _dealt(node: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node), F.greatest(F.lit(1), F.ceil(blocks)).cast("int")).cast("int")
+
+
+def _span(held: list[tuple[int, int, np.ndarray]], apart: bool, share: Fraction) -> Iterator[tuple[int, int]]:
+    """Links of unlike roots that span the components of ``held`` (root, side, set), all sets or, if ``apart``, those of unlike sides."""
+    held = sorted(held, key=lambda h: len(h[2]))
+    roots, sides = (np.array([h[k] for h in held], dtype=np.int64) for k in (0, 1))
+    sizes = np.array([len(h[2]) for h in held])
+    # The hashes that occur in several sets are numbered; a set is a row of bits.
+    _, which, times = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True, return_counts=True)
+    often = times > 1
+    kept = often[which]
+    place, owner = (np.cumsum(often) - 1)[which[kept]], np.repeat(np.arange(len(held)), sizes)[kept]
+    bits = np.zeros((len(held), int(often.sum()) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    label = np.unique(roots, return_inverse=True)[1]
+    upto = np.searchsorted(sizes * share.numerator, sizes * share.denominator, "right")
+    for i in range(len(held)):
+        others = slice(i + 1, upto[i])
+        j = i + 1 + np.flatnonzero((label[others] != label[i]) & ((sides[others] != sides[i]) | (not apart)))
+        if not len(j):
+            continue
+        common = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
+        alike = j[common * share.denominator >= (sizes[j] + sizes[i] - common) * share.numerator]
+        first = np.unique(label[alike], return_index=True)[1]
+        for k in alike[first]:
+            yield int(roots[i]), int(roots[k])
+        label[np.isin(label, label[alike])] = label[i]
+
+
+def _links(tasks: DataFrame, texts: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """(a, b): roots to be joined, from ``tasks`` (group, i, j, node, root, side); each (group, i, j) is compared in one task.
+
+    Where i and j are unlike, sets of unlike sides are compared only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            words = _Hashes()
-            sets = pa.array([shingles(t.as_py(), size, words).view(np.int64) for t in batch.column(1).cast(pa.binary())], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "hashes"])
-
-    texts = docs.select("text", _text_key().alias("text_key")).join(nodes.hint("merge"), "text_key").select("node", "text")
-    # Copies of a text have equal keys; one of them is enough.
-    once = texts.groupBy("node").agg(F.min("text").alias("text"))
-    return once.mapInArrow(run, "node bigint, hashes array<bigint>")
-
-
-def _prefixes(nodes: DataFrame) -> DataFrame:
-    """(coordinate, value, node, n_shingles): the postings of the sets' shortest lists, as many as MATCHES makes necessary."""
-    posts = nodes.select("node", "n_shingles", F.posexplode("signature").alias("coordinate", "value"))
-    lists = materialise(posts.groupBy("coordinate", "value").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = join_counted(posts, lists, ["coordinate", "value"])
-    by_set = shared.groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("lists"))
-    short = F.slice("lists", F.lit(1), F.size("lists") - MATCHES + 1)
-    return by_set.filter(F.size("lists") >= MATCHES).select("node", "n_shingles", F.explode(short).alias("p")).select("p.coordinate", "p.value", "node", "n_shingles")
-
-
-def _meeting(pairs: DataFrame, payload: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with the payload of both as ``of_a`` and ``of_b``.
-
-    A set b that very many pairs share meets them in groups of GROUP_PAIRS, and its payload is sent once to each group.
-    """
-    per = materialise(pairs.groupBy("b").agg(F.count("*").alias("n")))
-    groups = F.ceil(F.col("n") / GROUP_PAIRS).cast("int")
-    dealt = join_counted(pairs, per, ["b"]).withColumn("group", F.pmod(F.xxhash64("a"), groups).cast("int")).drop("n")
-    left = dealt.join(payload.select(F.col("node").alias("a"), F.col("payload").alias("of_a")).hint("merge"), "a")
-    right = per.join(payload.select(F.col("node").alias("b"), F.col("payload").alias("of_b")).hint("merge"), "b")
-    right = right.select("b", "of_b", F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"))
-    return left.join(right.hint("merge"), ["b", "group"])
-
-
-def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """The ``pairs`` that agree in MATCHES coordinates and whose whole sets have a similarity of ``share`` or more."""
-    agreed = F.size(F.filter(F.zip_with("of_a", "of_b", lambda x, y: x == y), lambda same: same))
-    close = materialise(_meeting(pairs, signatures).filter(agreed >= MATCHES).select("a", "b", "root_a", "root_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    alike = common * share.denominator >= (F.size("of_a") + F.size("of_b") - common) * share.numerator
-    return _meeting(close, sets).filter(alike).select("a", "b", "root_a", "root_b")
-
-
-def _open_lists(held: DataFrame) -> DataFrame:
-    """Lists of ``held`` (coordinate, value, node, root, ...) with more than one component: rows ``n`` and pairs of unlike roots."""
-    by_root = held.groupBy("coordinate", "value", "root").agg(F.count("*").alias("n"))
-    wide = F.col("n").cast("double")
-    pairs = (F.sum(wide) * F.sum(wide) - F.sum(wide * wide)) / 2
-    return by_root.groupBy("coordinate", "value").agg(F.sum("n").alias("n"), pairs.alias("pairs"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-
-
-def _joined_roots(postings: DataFrame, signatures: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """(node, root) of all sets in ``postings``, by the components of all confirmed pairs that share a list."""
-    placed = materialise(postings.select("node").distinct().withColumn("root", F.col("node")))
-    held = postings.withColumn("root", F.col("node"))
-    budget, round_number = PAIRS_EACH * postings.count(), 0
-    while True:
-        lists = materialise(_open_lists(held))
-        pairs = lists.agg(F.sum("pairs")).first()[0]
-        if pairs is None:
-            return placed
-        keys = ["coordinate", "value"]
-        held = materialise(join_counted(held.select(*keys, "node", "n_shingles", "root"), lists.select(*keys, "n"), keys))
-        last, partners = pairs <= budget, GROWTH**round_number
-        # A place in [0, 1) for each set; the first few of a list are the partners of all behind them, each in one round.
-        place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
-        left = held.select(*keys, F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("size_a"), place.alias("place_a"))
-        as_partner = F.struct(F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("size_a").alias("size_b"), F.col("place_a").alias("place_b"))
-        least = held.groupBy(*keys).agg(F.min(place).alias("least"), F.first("n").alias("n"))
-        upto = {"limit": F.lit(1.0) if last else F.greatest("least", partners / F.col("n")), "done": F.greatest("least", partners / GROWTH / F.col("n")) if round_number else F.lit(-1.0)}
-        limits = materialise(least.select(*keys, "n", *[v.alias(k) for k, v in upto.items()]))
-        chosen = join_counted(left, limits, keys).filter("place_a <= limit and place_a > done")
-        if last:
-            met = left.join(chosen.select(*keys, as_partner.alias("p")), keys)
-        else:
-            chosen = chosen.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(as_partner).alias("partners"))
-            met = join_counted(left, materialise(chosen), keys).withColumn("p", F.explode("partners"))
-        met = met.select("a", "root_a", "size_a", "place_a", "p.*")
-        # Of two partners the one with the later place meets the other.
-        once = (F.col("place_b") < F.col("place_a")) | ((F.col("place_b") == F.col("place_a")) & (F.col("b") < F.col("a")))
-        sizes = F.least("size_a", "size_b") * share.denominator >= F.greatest("size_a", "size_b") * share.numerator
-        met = met.filter(once & sizes & (F.col("root_a") != F.col("root_b")))
-        met = materialise(met.groupBy("a", "b").agg(F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b")))
-        links = materialise(_confirmed(met, signatures, sets, share).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-        moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("new"))
-        placed = materialise(placed.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("new", "root").alias("root")))
-        if last:
-            return placed
-        # A list whose sets have all been partners is done.
-        held = held.filter(F.col("n") > partners).drop("root", "n").join(placed.hint("merge"), "node")
-        round_number += 1
+        current, held = None, []
+
+        def found() -> list[tuple[int, int]]:
+            return list(_span(held, current[1] != current[2], share)) if len({h[0] for h in held}) > 1 else []
+
+        def written(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in pieces(batches, 0):
+            words, links = _Hashes(), []
+            texts_here, *keys, roots, sides = (batch.column(k) for k in range(6))
+            for text, key, root, side in zip(texts_here.cast(pa.binary()), zip(*(k.to_pylist() for k in keys)), roots.to_pylist(), sides.to_pylist()):
+                if key != current:
+                    links += found()
+                    current, held = key, []
+                held.append((root, side, shingles(text.as_py(), size, words)))
+            yield written(links)
+        yield written(found())
+
+    keys = ["group", "i", "j"]
+    sent = tasks.join(texts.hint("merge"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    return sent.select("text", *keys, "root", "side").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _first_tasks(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """All sets of small groups; the blocks of large ones, each by itself with the leader and about GROWTH others."""
+    met = join_counted(members, groups, ["group"])
+    blocks = F.when(F.col("large"), F.greatest(F.lit(1), F.ceil(2 * F.col("all_units") / GROUP_PAIRS))).otherwise(1).cast("int")
+    place = F.pmod(F.xxhash64("node", F.lit("guest")), F.lit(1 << 30)) / float(1 << 30)
+    guest = (F.col("node") == F.col("group")) | (place < F.lit(GROWTH) / F.col("n"))
+    own = F.when(guest, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(_dealt("node", blocks)))
+    each = met.select("group", "node", F.explode(own).alias("i"))
+    return each.select("group", "i", F.col("i").alias("j"), "node", F.col("node").alias("root"), F.lit(0).alias("side"))
+
+
+def _second_tasks(members: DataFrame, groups: DataFrame, placed: DataFrame) -> DataFrame:
+    """Blocks of large groups of several components, each with each, but not those of the component with most units among themselves."""
+    large = groups.filter("large").select("group", "n")
+    held = join_counted(members, materialise(large), ["group"]).drop("n").join(placed.hint("merge"), "node", "left")
+    held = materialise(held.withColumn("root", F.coalesce("root", "node")))
+    by_root = held.groupBy("group", "root").agg(F.sum("units").alias("units"), F.count("*").alias("n"))
+    most = F.max(F.struct("units", "root"))
+    split = by_root.groupBy("group").agg(most["root"].alias("main"), most["units"].alias("main_units"), F.sum("units").alias("all_units"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    met = join_counted(held, materialise(split.filter("roots > 1")), ["group"])
+    cut = {"main": F.col("main_units"), "rest": F.col("all_units") - F.col("main_units")}
+    cut = {k: F.greatest(F.lit(1), F.ceil(2 * v / GROUP_PAIRS)).cast("int") for k, v in cut.items()}
+    in_main = F.col("root") == F.col("main")
+    block = F.when(in_main, cut["rest"] + _dealt("node", cut["main"])).otherwise(_dealt("node", cut["rest"]))
+    others = F.sequence(F.lit(0), F.when(in_main, cut["rest"]).otherwise(cut["rest"] + cut["main"]) - 1)
+    each = met.select("group", "node", "root", block.alias("side"), others.alias("others")).withColumn("other", F.explode("others"))
+    return each.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "root", "side")
+
+
+def _joined_roots(members: DataFrame, texts: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """(node, root) of all sets that are linked with others, by the components of the links inside all groups."""
+    groups = members.groupBy("group").agg(F.sum("units").alias("all_units"), F.count("*").alias("n"))
+    groups = materialise(groups.withColumn("large", F.col("all_units") > PAIRS_EACH * GROUP_PAIRS))
+    placed = materialise(components(materialise(_links(_first_tasks(members, groups), texts, size, share))))
+    if groups.filter("large").isEmpty():
+        return placed
+    more = materialise(_links(_second_tasks(members, groups, placed), texts, size, share))
+    if more.isEmpty():
+        return placed
+    moved = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    # A set without links so far is its own root and comes in here.
+    either = placed.join(moved.hint("merge"), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialise(either.unionByName(moved.join(placed.hint("merge"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, similarity: float = 0.85) -> DataFrame:
@@ -220,16 +259,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, similarity: float = 0.85) ->
     marked = materialise(_marked(docs, size))
     per_set = marked.filter("n_shingles > 0").groupBy("content").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"),
-        F.min("text_key").alias("text_key"), F.first("signature").alias("signature"),
+        F.min("text_key").alias("text_key"), F.first("bands").alias("bands"),
     )
     nodes = materialise(per_set.withColumn("node", F.monotonically_increasing_id()))
-    postings = materialise(_prefixes(nodes))
-    meeting = postings.select("node").distinct()
-    known = materialise(nodes.select("node", "text_key", "signature").join(meeting.hint("merge"), "node"))
-    sets = materialise(_sets(docs, known.select("node", "text_key"), size))
-    # Sixteen bits of each coordinate are enough to count on: an accidental match only sends a pair to the whole sets.
-    short = F.transform("signature", lambda v: F.shiftright(F.shiftleft(v, 48), 48).cast("smallint"))
-    roots = _joined_roots(postings, known.select("node", short.alias("payload")), sets.select("node", F.col("hashes").alias("payload")), share)
+    members = materialise(_members(nodes))
+    meeting = nodes.select("node", "text_key").join(members.select("node").distinct().hint("merge"), "node")
+    roots = _joined_roots(members, materialise(_texts(docs, meeting)), size, share)
     grouped = nodes.select("content", "node", "first_id", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes"))
     joined = join_counted(grouped.select("content", "root", "n"), materialise(least), ["root"], "n_nodes")

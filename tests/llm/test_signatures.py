@@ -96,3 +96,48 @@ def test_shingles_and_signatures():
         np.mean(signatures.signature(np.append(common, own[:75]) + np.uint64(s)) == signatures.signature(np.append(common, own[75:]) + np.uint64(s))) for s in range(20)
     ])
     assert abs(agreed - 0.85) < 0.03
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_no_table_of_pairs(spark, monkeypatch, cut):
+    """Many unlike copies of one text: all pairs are candidates, few are links, and no table has more than 30 rows for each text."""
+    if cut:
+        monkeypatch.setattr(signatures, "GROUP_PAIRS", 128)
+    generator = random.Random(5)
+    base = generator.choices([f"w{i}" for i in range(5000)], k=90)
+    rows = []
+    for doc in range(300):
+        words = list(base)
+        for _ in range(generator.randint(1, 8)):
+            words[generator.randrange(len(words))] = f"own{generator.randrange(100_000)}"
+        rows.append((doc, " ".join(words)))
+    sizes = []
+
+    def counted(df, write=signatures.materialise):
+        sizes.append((written := write(df)).count())
+        return written
+
+    monkeypatch.setattr(signatures, "materialise", counted)
+    found = small.rows(signatures.near_duplicates(small.docs(spark, rows)))
+    expected = brute(rows)
+    assert found == expected and 20 < len({c for _, _, c in expected}) < 280
+    assert max(sizes) <= 30 * len(rows)
+
+
+def test_links_of_a_task_span_its_components():
+    share, sets = Fraction("0.85"), {1: range(20), 2: range(3, 20), 3: range(4, 20), 4: range(100, 120), 5: [*range(102, 120), 7]}
+    held = [(root, root % 2, np.array(s, dtype=np.uint64)) for root, s in sets.items()]
+    # 17 of 20 are a link and so are 16 of 17, 18 of 21 too; 16 of 20 are none.
+    assert sorted(sorted(x) for x in signatures._span(held, False, share)) == [[1, 2], [2, 3], [4, 5]]
+    assert sorted(sorted(x) for x in signatures._span([h for h in held if h[0] != 2], False, share)) == [[4, 5]]
+    assert list(signatures._span([h for h in held if h[0] in (1, 3, 5)], True, share)) == []  # one side only
+    assert list(signatures._span([(9, 0, held[0][2]), (9, 0, held[1][2])], False, share)) == []  # joined before
+    assert share == Fraction(17, 20) and list(signatures._span([(1, 0, np.arange(20, dtype=np.uint64)), (2, 0, np.arange(16, dtype=np.uint64))], False, share)) == []
+
+
+def test_linked_sets_share_a_band():
+    generator = np.random.default_rng(4)
+    for n in (20, 100, 1000):
+        for _ in range(300):
+            s = np.unique(generator.integers(0, 1 << 63, n, dtype=np.uint64))
+            assert (signatures.bands(s) == signatures.bands(s[: -(-len(s) * 85 // 100)])).any()
