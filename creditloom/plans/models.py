@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.guards import ensure_no_forbidden_features
 from ..schema import MODEL_NAMES, TARGET
 from ..scratch import materialise
+from .boosting import fit_boosted, whole_waves
 from .features import (
     FEATURES_COLUMN,
     VECTOR_COLUMN,
@@ -82,15 +83,6 @@ def vector_name(name: str) -> str:
     return "__linear" if is_linear(name) else "__ordinal"
 
 
-def whole_waves(rows: DataFrame) -> DataFrame:
-    """``rows`` in equal partitions, as many as fill all cores a whole number of times; a small table of fewer partitions as it is.
-
-    A tree fit runs hundreds of short jobs over the same partitions, so one partition too many doubles the time of each.
-    """
-    now, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
-    return rows if now < cores else rows.repartition(round(now / cores) * cores)
-
-
 def fit_encoded(encoded: DataFrame, name: str, **overrides) -> Transformer:
     """Fit the classifier alone on ``encoded_rows``."""
     rows = encoded.select(F.col(vector_name(name)).alias(VECTOR_COLUMN), TARGET)
@@ -98,11 +90,10 @@ def fit_encoded(encoded: DataFrame, name: str, **overrides) -> Transformer:
         weights, total = class_weights(rows, balanced=name == "logistic_balanced")
         rows = rows.withColumn(WEIGHT, F.when(F.col(TARGET) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0)))
         return penalised_logistic(rows, total, **overrides).model
-    rows = whole_waves(rows)
     if name == "random_forest":
         # Each row keeps its node of every tree: without that it walks down every tree again for each group of nodes.
-        return _tree(RandomForestClassifier, {**dict(numTrees=80, maxDepth=12, minInstancesPerNode=100, cacheNodeIds=True), **overrides}).fit(rows)
-    return _tree(GBTClassifier, {**dict(maxIter=120, stepSize=0.08, maxDepth=5), **overrides}).fit(rows)
+        return _tree(RandomForestClassifier, {**dict(numTrees=80, maxDepth=12, minInstancesPerNode=100, cacheNodeIds=True), **overrides}).fit(whole_waves(rows))
+    return fit_boosted(rows, _tree(GBTClassifier, {**dict(maxIter=120, stepSize=0.08, maxDepth=5), **overrides}))
 
 
 def predict_encoded(classifier: Transformer, encoded: DataFrame, name: str) -> DataFrame:

@@ -1,12 +1,15 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from creditloom.operators.compare import attach_scores, comparison_table, ensure_same_ids, id_set_difference, score_alignment, select_best, top_features
 from creditloom.operators.metrics import metric_rows, score_table
+from creditloom.plans import boosting
 from creditloom.plans.calibrate import Calibrator, fit_calibrator
 from creditloom.plans.evaluate import data_context
 from creditloom.plans.features import VECTOR_COLUMN, fit_feature_stats, linear_encoder, pack_features, tree_encoder
@@ -78,6 +81,52 @@ def test_forest_keeps_the_nodes_of_its_rows(spark):
     assert trees(kept) == trees(walked)
 
 
+def _numbers(spark, partitions):
+    """Rows of three features, one of few values and one constant, whose default probability grows with the first two."""
+    rows = spark.range(3000, numPartitions=partitions).select(F.rand(3).alias("a"), F.floor(F.rand(4) * 5).alias("b"), F.rand(5).alias("u"))
+    vector = array_to_vector(F.array("a", F.col("b").cast("double"), F.lit(7.0)))
+    return materialise(rows.select(vector.alias(VECTOR_COLUMN), (F.col("u") < (F.col("a") + F.col("b") / 4) / 2).cast("double").alias("default")))
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4])
+def test_boosted_trees_of_blocks_are_those_of_spark_ml(spark, monkeypatch, tmp_path, depth):
+    rows = _numbers(spark, 3)
+    estimator = GBTClassifier(featuresCol=VECTOR_COLUMN, labelCol="default", maxBins=256, seed=42, maxIter=6, stepSize=0.3, maxDepth=depth, minInstancesPerNode=40)
+    given = estimator.fit(rows)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(boosting, "LINEAGE", 2)
+    monkeypatch.setattr(boosting, "whole_waves", lambda r: r.repartition(4))
+    grown = []
+    monkeypatch.setattr(boosting, "_as_model", lambda *a, made=boosting._as_model: grown.append(a) or made(*a))
+    found = boosting.fit_boosted(rows, estimator)
+    assert grown and isinstance(found, GBTClassificationModel)
+    found.write().save(f"{tmp_path}/model")
+    found = GBTClassificationModel.load(f"{tmp_path}/model")
+    shape = lambda model: [line.split("Predict")[0] for line in model.toDebugString.split("\n")[1:]]
+    assert shape(found) == shape(given) and found.treeWeights == pytest.approx(given.treeWeights)
+    assert found.featureImportances.toArray() == pytest.approx(given.featureImportances.toArray(), abs=1e-9)
+    scores = lambda model: [r[0][1] for r in model.transform(rows).select("probability").collect()]
+    assert scores(found) == pytest.approx(scores(given), abs=1e-9)
+
+
+def test_boosted_trees_leave_other_settings_and_odd_rows_to_spark_ml(spark, monkeypatch):
+    rows = _numbers(spark, 1)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(boosting, "_boosted", lambda *a: pytest.fail("fitted on blocks"))
+    settings = dict(featuresCol=VECTOR_COLUMN, labelCol="default", maxIter=1)
+    assert boosting.fit_boosted(rows, GBTClassifier(**settings, subsamplingRate=0.5)).getNumTrees == 1
+    missing = rows.withColumn("default", F.when(F.col("default") == 1, 1.0))
+    with pytest.raises(Exception, match="(?i)label"):
+        boosting.fit_boosted(missing, GBTClassifier(**settings))
+
+
+def test_candidate_cuts():
+    few = boosting.candidate_cuts(np.array([3.0, 1.0, 1.0, 2.0]), 5)
+    many = boosting.candidate_cuts(np.repeat(np.arange(100.0), 3), 3)
+    assert few.tolist() == [1.5, 2.5] and many.tolist() == [24.5, 49.5, 74.5]
+    assert boosting.candidate_cuts(np.zeros(4), 5).tolist() == []
+
+
 def test_encoders(spark):
     rows = [(1.0, "B", None), (2.0, "A", "x"), (3.0, "B", "x"), (None, None, "y"), (10.0, "A", "y")]
     train = spark.createDataFrame(rows, "dti double, grade string, purpose string")
