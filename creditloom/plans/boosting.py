@@ -17,7 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,12 +29,11 @@ BLOCK_ROWS = 1 << 17
 DIRECT = 64
 #: Trees after which margins are worked out anew from the written blocks, so that the lineage of a block stays short.
 LINEAGE = 60
-#: Settings the fit below follows, and those that only say how Spark ML's own fit runs.
-_FOLLOWED = {"featuresCol", "labelCol", "maxIter", "stepSize", "maxDepth", "maxBins", "minInstancesPerNode", "minInfoGain", "seed"}
-_FOLLOWED |= {"cacheNodeIds", "checkpointInterval", "maxMemoryInMB"}
+#: Settings of trees that are followed, and those that only say how Spark ML's own fit runs.
+FOLLOWED = {"featuresCol", "labelCol", "maxDepth", "maxBins", "minInstancesPerNode", "minInfoGain", "seed"} | {"cacheNodeIds", "checkpointInterval", "maxMemoryInMB"}
 _NODE = "id int, prediction double, impurity double, impurityStats array<double>, rawCount bigint, gain double, leftChild int, rightChild int"
-_DATA = f"treeID int, nodeData struct<{_NODE}, split struct<featureIndex int, leftCategoriesOrThreshold array<double>, numCategories int>>"
-_EPSILON = 2.220446049250313e-16
+NODES = f"treeID int, nodeData struct<{_NODE}, split struct<featureIndex int, leftCategoriesOrThreshold array<double>, numCategories int>>"
+EPSILON = 2.220446049250313e-16
 
 
 def whole_waves(rows: DataFrame) -> DataFrame:
@@ -46,10 +45,18 @@ def whole_waves(rows: DataFrame) -> DataFrame:
     return rows if now < cores else rows.repartition(round(now / cores) * cores)
 
 
-def follows(estimator: GBTClassifier) -> bool:
-    """Whether ``fit_boosted`` knows all settings of the estimator, and one byte holds a bin."""
-    chosen = {p.name for p in estimator.extractParamMap() if estimator.isSet(p)}
-    return chosen <= _FOLLOWED and estimator.getMaxBins() <= 256
+def large_table(rows: DataFrame, estimator: GBTClassifier | RandomForestClassifier, followed: set[str]) -> tuple[DataFrame, int] | None:
+    """(x, y) of the rows and their number; None where Spark ML has to fit them: a table of one block, settings that are not
+    ``followed`` here, or rows that it refuses."""
+    vector, label = F.col(estimator.getFeaturesCol()), F.col(estimator.getLabelCol()).cast("double")
+    named = rows.select(vector_to_array(vector).alias("x"), label.alias("y"))
+    odd = F.col("x").isNull() | F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.coalesce(F.col("y").isin(0.0, 1.0), F.lit(False))
+    seen = named.agg(F.count("*").alias("rows"), F.count_if(odd).alias("odd")).first()
+    chosen = {p.name for p in estimator.params if estimator.isSet(p)}
+    # One byte holds a bin.
+    if seen["rows"] <= BLOCK_ROWS or seen["odd"] or not chosen <= followed or estimator.getMaxBins() > 256:
+        return None
+    return named, seen["rows"]
 
 
 @dataclass
@@ -116,7 +123,7 @@ def candidate_cuts(values: np.ndarray, most: int) -> np.ndarray:
     return middles[chosen]
 
 
-def _all_cuts(rows: DataFrame, count: int, estimator: GBTClassifier) -> list[np.ndarray]:
+def all_cuts(rows: DataFrame, count: int, estimator: GBTClassifier | RandomForestClassifier) -> list[np.ndarray]:
     """Candidate cuts of each feature, from as many rows as Spark ML takes for them; every row is then binned."""
     bins = min(estimator.getMaxBins(), count)
     enough = max(estimator.getMaxBins() ** 2, 10_000)
@@ -126,7 +133,7 @@ def _all_cuts(rows: DataFrame, count: int, estimator: GBTClassifier) -> list[np.
     return [candidate_cuts(values[:, f], bins - 1) for f in range(values.shape[1])]
 
 
-def _binned(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def binned(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], block_rows: int) -> Iterator[pa.RecordBatch]:
     """Blocks of bins, a row of bytes for each feature, with the labels as signs."""
 
     def block() -> pa.RecordBatch:
@@ -141,7 +148,7 @@ def _binned(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterat
         bins.append(np.stack([np.searchsorted(c, values[:, f]).astype(np.uint8) for f, c in enumerate(cuts)]))
         signs.append(np.where(batch["y"].to_numpy() > 0, 1, -1).astype(np.int8))
         held += batch.num_rows
-        if held >= BLOCK_ROWS:
+        if held >= block_rows:
             yield block()
             bins, signs, held = [], [], 0
     if held:
@@ -156,13 +163,15 @@ def _opened(row, features: int) -> Block:
     return np.frombuffer(row["bins"], np.uint8).reshape(features, -1), signs, np.zeros(len(signs))
 
 
-def _nodes(bins: np.ndarray, routes: tuple[np.ndarray, ...], levels: int) -> np.ndarray:
-    """The node of each row after ``levels`` steps from the root."""
+def nodes_of(bins: np.ndarray, routes: tuple[np.ndarray, ...], levels: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """The node of each row, or of ``rows``, after ``levels`` steps from the root."""
     feature, cut, left, right = routes
-    flat, rows, node = bins.ravel(), np.arange(bins.shape[1]), np.zeros(bins.shape[1], dtype=np.int64)
+    rows = np.arange(bins.shape[1]) if rows is None else rows
+    flat, column, children = bins.ravel(), feature * bins.shape[1], np.stack([left, right], axis=1).ravel()
+    node = np.zeros(len(rows), dtype=np.int64)
     for _ in range(levels):
-        below = flat.take(feature.take(node) * len(rows) + rows) <= cut.take(node)
-        node = np.where(below, left.take(node), right.take(node))
+        beyond = flat.take(column.take(node) + rows) > cut.take(node)
+        node = children.take(2 * node + beyond)
     return node
 
 
@@ -170,7 +179,7 @@ def _advanced(block: Block, trees: Sequence[tuple], levels: int) -> Block:
     """The block with the weighted predictions of ``trees`` added to its margins."""
     bins, signs, margins = block
     for routes, values in trees:
-        margins = margins + values.take(_nodes(bins, routes, levels))
+        margins = margins + values.take(nodes_of(bins, routes, levels))
     return bins, signs, margins
 
 
@@ -187,7 +196,7 @@ def _histograms(block: Block, routes: tuple[np.ndarray, ...], level: int, wanted
     if level:
         places = np.full(len(routes[0]), -1)
         places[wanted] = np.arange(len(wanted))
-        slot = places.take(_nodes(bins, routes, level))
+        slot = places.take(nodes_of(bins, routes, level))
         kept = np.flatnonzero(slot >= 0)
         slot, residual = slot.take(kept), residual.take(kept)
     parts = []
@@ -269,7 +278,7 @@ def _grown(state: RDD, widths: Sequence[int], settings: _Settings, first: bool)
             break
         gain, feature, cut, left = _best_cuts(cells, settings.least, settings.least_gain)
         for place, node in enumerate(nodes):
-            if gain[place] > 0 and (not level or tree.impurity(node) >= _EPSILON):
+            if gain[place] > 0 and (not level or tree.impurity(node) >= EPSILON):
                 split.append(place)
                 tree.gain[node], tree.feature[node], tree.cut[node] = float(gain[place]), int(feature[place]), int(cut[place])
                 rest = cells[tree.feature[node]][:, place].sum(axis=1) - left[:, place]
@@ -286,7 +295,7 @@ def _leaf_squares(block: Block, trees: Sequence[tuple], levels: int) -> np.ndarr
     bins, signs, margins = block
     found = []
     for number, (routes, values) in enumerate(trees):
-        node, residual = _nodes(bins, routes, levels), _residuals(signs, margins) if number else signs.astype(np.float64)
+        node, residual = nodes_of(bins, routes, levels), _residuals(signs, margins) if number else signs.astype(np.float64)
         found.append(np.bincount(node, residual * residual, len(values)))
         margins = margins + values.take(node)
     return np.concatenate(found)
@@ -318,14 +327,11 @@ def fit_boosted(rows: DataFrame, estimator: GBTClassifier) -> GBTClassificationM
     The driver gets the histograms of a level, as large as the bins of all features, and decides its cuts. A table of one block
     is left to Spark ML, as are settings that are not followed here and rows it refuses.
     """
-    vector, label = F.col(estimator.getFeaturesCol()), F.col(estimator.getLabelCol()).cast("double")
-    named = rows.select(vector_to_array(vector).alias("x"), label.alias("y"))
-    odd = F.col("x").isNull() | F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.coalesce(F.col("y").isin(0.0, 1.0), F.lit(False))
-    seen = named.agg(F.count("*").alias("rows"), F.count_if(odd).alias("odd")).first()
-    if seen["rows"] <= BLOCK_ROWS or seen["odd"] or not follows(estimator):
+    if (large := large_table(rows, estimator, FOLLOWED | {"maxIter", "stepSize"})) is None:
         return estimator.fit(whole_waves(rows))
-    cuts = _all_cuts(named, seen["rows"], estimator)
-    blocks = whole_waves(named).mapInArrow(partial(_binned, cuts=cuts), "bins binary, signs binary")
+    named, count = large
+    cuts = all_cuts(named, count, estimator)
+    blocks = whole_waves(named).mapInArrow(partial(binned, cuts=cuts, block_rows=BLOCK_ROWS), "bins binary, signs binary")
     base = blocks.rdd.map(partial(_opened, features=len(cuts))).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     settings = _Settings(estimator.getMaxIter(), estimator.getStepSize(), estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), estimator.getMinInfoGain())
     trees = _boosted(base, [len(c) + 1 for c in cuts], settings)
@@ -334,15 +340,21 @@ def fit_boosted(rows: DataFrame, estimator: GBTClassifier) -> GBTClassificationM
 
 
 def _as_model(spark: SparkSession, estimator: GBTClassifier, trees: Sequence[Tree], cuts: Sequence[np.ndarray]) -> GBTClassificationModel:
-    """The trees in the form of a saved model, loaded."""
-    path = f"{scratch_root(spark)}/model-{uuid.uuid4().hex}"
+    nodes = spark.createDataFrame([(i, node) for i, tree in enumerate(trees) for node in tree.saved(cuts)], NODES)
+    weights = [estimator.getStepSize() if i else 1.0 for i in range(len(trees))]
+    kinds = ("classification.GBTClassificationModel", "regression.DecisionTreeRegressionModel")
+    return GBTClassificationModel.load(saved_trees(nodes, estimator, kinds, weights, {"numFeatures": len(cuts)}, "variance"))
+
+
+def saved_trees(nodes: DataFrame, estimator: GBTClassifier | RandomForestClassifier, kinds: tuple[str, str], weights: Sequence[float], facts: dict, impurity: str) -> str:
+    """Folder of a saved Spark ML model of the class ``kinds[0]`` with trees of the class ``kinds[1]``."""
+    spark, path = nodes.sparkSession, f"{scratch_root(nodes.sparkSession)}/model-{uuid.uuid4().hex}"
     chosen = {p.name: estimator.getOrDefault(p) for p in estimator.params if estimator.isSet(p)}
-    facts = {"timestamp": int(time.time() * 1000), "sparkVersion": spark.version, "defaultParamMap": {"impurity": "variance"}}
-    whole = {**facts, "class": "org.apache.spark.ml.classification.GBTClassificationModel", "uid": estimator.uid, "paramMap": chosen, "numFeatures": len(cuts), "numTrees": len(trees)}
-    each = {**facts, "class": "org.apache.spark.ml.regression.DecisionTreeRegressionModel", "paramMap": {k: v for k, v in chosen.items() if k in ("featuresCol", "labelCol", "maxDepth", "maxBins", "seed")}}
+    shared = {"timestamp": int(time.time() * 1000), "sparkVersion": spark.version, "defaultParamMap": {"impurity": impurity}}
+    whole = {**shared, "class": f"org.apache.spark.ml.{kinds[0]}", "uid": estimator.uid, "paramMap": chosen, **facts, "numTrees": len(weights)}
+    each = {**shared, "class": f"org.apache.spark.ml.{kinds[1]}", "paramMap": {k: v for k, v in chosen.items() if k in FOLLOWED}}
     spark.range(1).select(F.lit(json.dumps(whole)).alias("value")).write.text(f"{path}/metadata")
-    headers = [(i, json.dumps({**each, "uid": f"{estimator.uid}_{i}"}), estimator.getStepSize() if i else 1.0) for i in range(len(trees))]
+    headers = [(i, json.dumps({**each, "uid": f"{estimator.uid}_{i}"}), w) for i, w in enumerate(weights)]
     spark.createDataFrame(headers, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    nodes = [(i, node) for i, tree in enumerate(trees) for node in tree.saved(cuts)]
-    spark.createDataFrame(nodes, _DATA).coalesce(1).write.parquet(f"{path}/data")
-    return GBTClassificationModel.load(path)
+    nodes.write.parquet(f"{path}/data")
+    return path

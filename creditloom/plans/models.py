@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.guards import ensure_no_forbidden_features
 from ..schema import MODEL_NAMES, TARGET
 from ..scratch import materialise
-from .boosting import fit_boosted, whole_waves
+from .boosting import fit_boosted, whole_waves  # noqa: F401  (tests take whole_waves from here)
 from .features import (
     FEATURES_COLUMN,
     VECTOR_COLUMN,
@@ -22,6 +22,7 @@ from .features import (
     pack_features,
     tree_encoder,
 )
+from .forest import fit_forest
 from .newton import NewtonFit, fit_newton
 
 RAW_SCORE = "p_raw"
@@ -92,7 +93,7 @@ def fit_encoded(encoded: DataFrame, name: str, **overrides) -> Transformer:
         return penalised_logistic(rows, total, **overrides).model
     if name == "random_forest":
         # Each row keeps its node of every tree: without that it walks down every tree again for each group of nodes.
-        return _tree(RandomForestClassifier, {**dict(numTrees=80, maxDepth=12, minInstancesPerNode=100, cacheNodeIds=True), **overrides}).fit(whole_waves(rows))
+        return fit_forest(rows, _tree(RandomForestClassifier, {**dict(numTrees=80, maxDepth=12, minInstancesPerNode=100, cacheNodeIds=True), **overrides}))
     return fit_boosted(rows, _tree(GBTClassifier, {**dict(maxIter=120, stepSize=0.08, maxDepth=5), **overrides}))
 
 

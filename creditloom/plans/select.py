@@ -119,10 +119,15 @@ def _folds(train: DataFrame, features: Sequence[str], options: TrainingOptions)
     return together([partial(encoded, size) for size in usable], spark, options.parallelism)
 
 
+def _scored(classifier: Transformer, encoded: DataFrame, name: str) -> OrderedTable:
+    """Score table of a model on encoded rows. Scores are written first: Spark would work out each one again for the filter on it."""
+    return score_table(materialise(predict_encoded(classifier, encoded, name)), RAW_SCORE)
+
+
 def _fold_metrics(fold: _Fold, name: str, options: TrainingOptions) -> dict:
     past, ahead = fold.encoded.filter(F.col("block") < fold.number), fold.encoded.filter(F.col("block") == fold.number)
     classifier = fit_encoded(past, name, **options.model_settings.get(name, {}))
-    summary = _summary(score_table(predict_encoded(classifier, ahead, name), RAW_SCORE))
+    summary = _summary(_scored(classifier, ahead, name))
     return {"fold": fold.number, "train_rows": fold.train_rows, "validation_rows": fold.validation_rows, **{m: summary[m] for m in FOLD_METRICS}}
 
 
@@ -177,7 +182,7 @@ def select_candidate(train: DataFrame, calibration: DataFrame, validation: DataF
 
     def fitted(name: str) -> tuple[Transformer, OrderedTable, OrderedTable]:
         classifier = fit_encoded(splits[0], name, **options.model_settings.get(name, {}))
-        return (classifier, *[score_table(predict_encoded(classifier, encoded, name), RAW_SCORE) for encoded in splits[1:]])
+        return (classifier, *[_scored(classifier, encoded, name) for encoded in splits[1:]])
 
     names = _longest_first(options.models)
     fits = [(name, fold) for name in names for fold in reversed(folds)]

@@ -2,14 +2,14 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from creditloom.operators.compare import attach_scores, comparison_table, ensure_same_ids, id_set_difference, score_alignment, select_best, top_features
 from creditloom.operators.metrics import metric_rows, score_table
-from creditloom.plans import boosting
+from creditloom.plans import boosting, forest, select
 from creditloom.plans.calibrate import Calibrator, fit_calibrator
 from creditloom.plans.evaluate import data_context
 from creditloom.plans.features import VECTOR_COLUMN, fit_feature_stats, linear_encoder, pack_features, tree_encoder
@@ -120,6 +120,64 @@ def test_boosted_trees_leave_other_settings_and_odd_rows_to_spark_ml(spark, monk
         boosting.fit_boosted(missing, GBTClassifier(**settings))
 
 
+def _small_blocks(monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(forest, "COUNT_BYTES", 1)
+    monkeypatch.setattr(forest, "whole_waves", lambda r: r.repartition(4))
+
+
+@pytest.mark.parametrize("depth", [0, 1, 5])
+def test_a_tree_of_blocks_is_that_of_spark_ml(spark, monkeypatch, depth):
+    rows = _numbers(spark, 3)
+    estimator = RandomForestClassifier(featuresCol=VECTOR_COLUMN, labelCol="default", maxBins=256, seed=42, numTrees=1, bootstrap=False, maxDepth=depth, minInstancesPerNode=40)
+    given = estimator.fit(rows)
+    _small_blocks(monkeypatch)
+    found = forest.fit_forest(rows, estimator)
+    assert found.toDebugString.split("\n")[1:] == given.toDebugString.split("\n")[1:]
+    assert found.featureImportances.toArray() == pytest.approx(given.featureImportances.toArray())
+    scores = lambda model: [r[0][1] for r in model.transform(rows).select("probability").collect()]
+    assert scores(found) == pytest.approx(scores(given))
+
+
+def test_a_forest_of_blocks(spark, monkeypatch, tmp_path):
+    rows = _numbers(spark, 3)
+    estimator = RandomForestClassifier(featuresCol=VECTOR_COLUMN, labelCol="default", maxBins=256, seed=42, numTrees=20, maxDepth=6, minInstancesPerNode=40)
+    given = estimator.fit(rows)
+    _small_blocks(monkeypatch)
+    found, again = forest.fit_forest(rows, estimator), forest.fit_forest(rows, estimator)
+    assert found.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
+    assert len({t.toDebugString.split("\n", 1)[1] for t in found.trees}) == found.getNumTrees == 20
+    found.write().save(f"{tmp_path}/model")
+    nodes = spark.read.parquet(f"{tmp_path}/model/data").select("treeID", "nodeData.*").collect()
+    by_id = {(n["treeID"], n["id"]): n for n in nodes}
+    assert all(n["rawCount"] >= 40 for n in nodes)
+    for n in (n for n in nodes if n["leftChild"] >= 0):
+        left, right = by_id[n["treeID"], n["leftChild"]], by_id[n["treeID"], n["rightChild"]]
+        assert [a + b for a, b in zip(left["impurityStats"], right["impurityStats"])] == n["impurityStats"]
+        assert left["leftChild"] >= 0 or right["leftChild"] >= 0 or left["prediction"] != right["prediction"]
+    roots = [n["rawCount"] for n in nodes if n["id"] == 0]
+    assert len(set(roots)) > 10 and abs(sum(roots) / 20 - 3000) < 60
+    auc = lambda model: metric_rows(score_table(model.transform(rows).select("default", vector_to_array("probability")[1].alias("p")), "p")).first()["roc_auc"]
+    assert isinstance(RandomForestClassificationModel.load(f"{tmp_path}/model"), RandomForestClassificationModel)
+    assert auc(found) == pytest.approx(auc(given), abs=0.02)
+
+
+def test_draws_are_poisson():
+    drawn = forest.drawn_times(np.random.default_rng(1), 1_000_000)
+    shares = np.bincount(drawn, minlength=5)[:5] / len(drawn)
+    assert shares == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(5)], abs=0.002)
+
+
+def test_scores_of_the_grid_are_worked_out_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(select, "score_table", lambda scored, p: plans.append(scored._jdf.queryExecution().optimizedPlan().toString()))
+    rows = _numbers(spark, 1)
+    model = GBTClassifier(featuresCol=VECTOR_COLUMN, labelCol="default", maxIter=1).fit(rows)
+    select._scored(model, rows.withColumnRenamed(VECTOR_COLUMN, vector_name("random_forest")), "hist_gradient_boosting")
+    assert plans and "UDF" not in plans[0]
+
+
 def test_candidate_cuts():
     few = boosting.candidate_cuts(np.array([3.0, 1.0, 1.0, 2.0]), 5)
     many = boosting.candidate_cuts(np.repeat(np.arange(100.0), 3), 3)
